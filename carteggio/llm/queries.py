@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from carteggio.llm import threads
+from carteggio.llm import packing, splitting, threads, tokens
 from carteggio.sources.tables import table
 
 
@@ -13,5 +14,22 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return found.where("kept").select("conversation_id", "id", "turn", "speaker")
 
 
-QUERIES = {"p3_found": p3_found}
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return splitting.pieces(table(spark, root, "atlas_semantic_documents")).where("piece = 0").select("id", "cut")
+
+
+def p4_pieces(spark: SparkSession, root: str) -> DataFrame:
+    return splitting.pieces(table(spark, root, "atlas_semantic_documents"))
+
+
+def p8_ids(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "documents").select("doc_id", tokens.encode(F.col("text")).alias("ids"))
+
+
+def p9_containers(spark: SparkSession, root: str) -> DataFrame:
+    sizes = table(spark, root, "documents").where("text is not null and text <> ''").select("doc_id", tokens.count(F.col("text")).alias("n_tokens"))
+    return packing.pack(sizes, 2048)
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_pieces, p8_ids, p9_containers)}
 SQL: dict[str, str] = {}
