@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carteggio.llm import packing, splitting, threads, tokens
+from carteggio.llm import clusters, packing, splitting, threads, tokens
 from carteggio.sources.tables import table
 
 
@@ -22,6 +22,14 @@ def p4_pieces(spark: SparkSession, root: str) -> DataFrame:
     return splitting.pieces(table(spark, root, "atlas_semantic_documents"))
 
 
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return clusters.cluster(table(spark, root, "atlas_embedding_cache"))[0]
+
+
+def p6_clusters(spark: SparkSession, root: str) -> DataFrame:
+    return clusters.cluster(table(spark, root, "atlas_embedding_cache"))[1]
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "documents").select("doc_id", tokens.encode(F.col("text")).alias("ids"))
 
@@ -31,5 +39,5 @@ def p9_containers(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(sizes, 2048)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_pieces, p8_ids, p9_containers)}
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_pieces, p6_found, p6_clusters, p8_ids, p9_containers)}
 SQL: dict[str, str] = {}
