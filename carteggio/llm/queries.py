@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carteggio.llm import clusters, packing, splitting, threads, tokens
+from carteggio.llm import clusters, mojibake, packing, splitting, threads, tokens
 from carteggio.sources.tables import table
 
 
@@ -39,5 +39,10 @@ def p9_containers(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(sizes, 2048)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_pieces, p6_found, p6_clusters, p8_ids, p9_containers)}
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    found = mojibake.repair(table(spark, root, "documents"))
+    return found.select("doc_id", F.when(F.col("status") == "lost", "lost").otherwise(F.md5("restored")).alias("restored_md5"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_pieces, p6_found, p6_clusters, p8_ids, p9_containers, p10_found)}
 SQL: dict[str, str] = {}
