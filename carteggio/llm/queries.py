@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carteggio.llm import clusters, mojibake, packing, splitting, threads, tokens
+from carteggio.llm import clusters, mojibake, packing, quotes, splitting, threads, tokens
 from carteggio.sources.tables import table
 
 
@@ -30,6 +30,15 @@ def p6_clusters(spark: SparkSession, root: str) -> DataFrame:
     return clusters.cluster(table(spark, root, "atlas_embedding_cache"))[1]
 
 
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return quotes.lines(table(spark, root, "emails")).select("id", "line_no", "kind")
+
+
+def p7_texts(spark: SparkSession, root: str) -> DataFrame:
+    emails = table(spark, root, "emails")
+    return quotes.split(emails, quotes.lines(emails))
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "documents").select("doc_id", tokens.encode(F.col("text")).alias("ids"))
 
@@ -44,5 +53,5 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return found.select("doc_id", F.when(F.col("status") == "lost", "lost").otherwise(F.md5("restored")).alias("restored_md5"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_pieces, p6_found, p6_clusters, p8_ids, p9_containers, p10_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_pieces, p6_found, p6_clusters, p7_found, p7_texts, p8_ids, p9_containers, p10_found)}
 SQL: dict[str, str] = {}
