@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carteggio.llm import clusters, mojibake, packing, quotes, splitting, threads, tokens
+from carteggio.llm import clusters, mojibake, packing, pii, quotes, splitting, threads, tokens
 from carteggio.sources.tables import table
 
 
@@ -22,6 +22,14 @@ def p4_pieces(spark: SparkSession, root: str) -> DataFrame:
     return splitting.pieces(table(spark, root, "atlas_semantic_documents"))
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return pii.find(table(spark, root, "emails")).select("id", "field", "kind", "start_pos")
+
+
+def p5_redacted(spark: SparkSession, root: str) -> DataFrame:
+    return pii.redact(table(spark, root, "emails"))
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return clusters.cluster(table(spark, root, "atlas_embedding_cache"))[0]
 
@@ -53,5 +61,5 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return found.select("doc_id", F.when(F.col("status") == "lost", "lost").otherwise(F.md5("restored")).alias("restored_md5"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_pieces, p6_found, p6_clusters, p7_found, p7_texts, p8_ids, p9_containers, p10_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_pieces, p5_found, p5_redacted, p6_found, p6_clusters, p7_found, p7_texts, p8_ids, p9_containers, p10_found)}
 SQL: dict[str, str] = {}
