@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carteggio.llm import clusters, mojibake, packing, pii, quotes, splitting, threads, tokens
+from carteggio.llm import clusters, mojibake, names, packing, pii, quotes, splitting, threads, tokens
 from carteggio.sources.tables import table
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return names.link(table(spark, root, "atlas_entities"), table(spark, root, "emails"))
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     found = threads.conversations(table(spark, root, "emails"), table(spark, root, "source_files"), table(spark, root, "own_accounts"))
     return found.where("kept").select("conversation_id", "id", "turn", "speaker")
@@ -61,5 +65,5 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return found.select("doc_id", F.when(F.col("status") == "lost", "lost").otherwise(F.md5("restored")).alias("restored_md5"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_pieces, p5_found, p5_redacted, p6_found, p6_clusters, p7_found, p7_texts, p8_ids, p9_containers, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p4_pieces, p5_found, p5_redacted, p6_found, p6_clusters, p7_found, p7_texts, p8_ids, p9_containers, p10_found)}
 SQL: dict[str, str] = {}
