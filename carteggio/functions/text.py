@@ -33,7 +33,7 @@ def words(c: Column, least: int = 2) -> Column:
 
 def lines(c: Column) -> Column:
     """Lines without blanks at their ends, empty ones dropped."""
-    return F.filter(F.transform(F.split(F.regexp_replace(c, r"\r\n?", "\n"), "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(c, r"\r\n?", "\n"), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def quality(c: Column, min_chars: int = 40, min_words: int = 5) -> Column:
@@ -47,7 +47,8 @@ def quality(c: Column, min_chars: int = 40, min_words: int = 5) -> Column:
 def language(c: Column) -> Column:
     """The language with most telling words among the words of a text, ties alphabetically, null without any."""
     w = words(c)
-    score = F.array(*[F.struct(-F.size(F.filter(w, lambda x, t=t: x.isin(*t))).alias("n"), F.lit(code).alias("code")) for code, t in sorted(TELLING.items())])
+    told = lambda t: F.size(F.filter(w, lambda x: x.isin(*t)))
+    score = F.array(*[F.struct((-told(t)).alias("n"), F.lit(code).alias("code")) for code, t in sorted(TELLING.items())])
     best = F.array_min(score)
     return F.when(best["n"] < 0, best["code"])
 
@@ -76,7 +77,7 @@ def html(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Sentences: cut after a stop that white space follows."""
-    return F.filter(F.split(F.regexp_replace(c, r"([.!?])\s+", "$1\u0001"), "\u0001"), lambda x: F.trim(x) != "")
+    return F.filter(F.split(F.regexp_replace(c, r"([.!?])\s+", "$1\u0001"), "\u0001"), lambda x: x.rlike(r"[^\s\p{Z}]"))
 
 
 def segments(c: Column) -> Column:
