@@ -223,8 +223,8 @@ def domain_entities(spark, root):
 _COUNTS = "c as (select doc_id, term, count(*) as tf from (select doc_id, unnest(" + _WORDS.format(c="text", n=3) + ") as term from documents where text is not null) group by 1, 2)"
 
 
-def _counts(spark, root, where="text is not null"):
-    docs = table(spark, root, "documents").where("text is not null").where(where)
+def _counts(spark, root):
+    docs = table(spark, root, "documents").where("text is not null")
     return docs, terms.term_counts(docs, "doc_id", T.words(F.col("text"), 3))
 
 
@@ -245,12 +245,13 @@ def tfidf_top_terms(spark, root):
     return R.top_k(w, ["doc_id"], [F.round("weight", 9).desc(), F.col("term")], 5, "rk").select("doc_id", "term", F.round("weight", 6).alias("weight"), "rk")
 
 
-@query()
+@query(f"""with {_TFIDF}, p as (select a.doc_id as source, b.doc_id as target, sum(a.weight * b.weight) as similarity from u a join u b on a.term = b.term and a.doc_id <> b.doc_id where a.doc_id % 20 = 0 group by 1, 2)
+ select source, target, round(similarity, 6) as similarity from (select *, row_number() over (partition by source order by round(similarity, 9) desc, target) as rk from p where similarity > 0) where rk <= 5""")
 def similarity_edges(spark, root):
-    docs, counts = _counts(spark, root, "doc_type = 'notice' or source like '%sent-00'")
+    # a search: every document whose id is divisible by 20 against all documents
+    docs, counts = _counts(spark, root)
     w = terms.tfidf(counts, "doc_id", docs.agg(F.count("*").alias("n")), 1000)
-    # words in very many documents carry little weight but make most pairs: their share stays below a tenth
-    return terms.similar(w.where("weight >= 0.05"), "doc_id").select("source", "target", F.round("similarity", 6).alias("similarity"))
+    return terms.similar(w, "doc_id", F.col("doc_id") % 20 == 0).select("source", "target", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"with {_COUNTS}, l as (select doc_id, sum(tf) as len from c group by 1), g as (select count(*) as n, avg(len) as mean from l), h as (select * from c where term in ('impianto', 'fanghi')), d as (select term, count(*) as df from h group by 1)"
@@ -322,12 +323,13 @@ def vec_silhouette(spark, root):
     return V.silhouette(table(spark, root, "embeddings"), "vec_id", "label", "embedding").select("vec_id", F.round("silhouette", 6).alias("silhouette"))
 
 
-@query("""with x as (select label, vec_id % 2 = 0 as positive, embedding::double[] as e from embeddings where vec_id < 40), y as (select v.vec_id, x.label, max(case when positive then c end) as p, max(case when not positive then c end) as q
+@query("""with x as (select label, rk % 2 = 1 as positive, embedding::double[] as e from (select *, row_number() over (partition by label order by vec_id) as rk from embeddings) where rk <= 4), y as (select v.vec_id, x.label, max(case when positive then c end) as p, max(case when not positive then c end) as q
  from (select v.vec_id, x.label, x.positive, list_cosine_similarity(v.embedding::double[], x.e) as c from embeddings v, x) v join (select distinct label from x) x on x.label = v.label group by 1, 2), z as (select vec_id, label, p - greatest(coalesce(q, 0), 0) as score from y)
  select vec_id, label, round(score, 6) as score from (select *, row_number() over (partition by vec_id order by round(score, 9) desc, label) as rk from z where score >= 0.05) where rk = 1""")
 def vec_few_shot(spark, root):
     e = table(spark, root, "embeddings")
-    examples = e.where("vec_id < 40").select("label", (F.col("vec_id") % 2 == 0).alias("positive"), F.col("embedding").alias("example_vector"))
+    # the first four rows of each label stand for what people labelled, two for and two against
+    examples = R.top_k(e, ["label"], [F.col("vec_id")], 4).select("label", (F.col("rank") % 2 == 1).alias("positive"), F.col("embedding").alias("example_vector"))
     return V.few_shot(e.select("vec_id", "embedding"), examples, "vec_id", "embedding", 0.05).select("vec_id", "label", F.round("score", 6).alias("score"))
 
 

@@ -103,11 +103,10 @@ def boolean_flags(spark, root):
     return table(spark, root, "emails").select("id", flag.alias("flagged"))
 
 
-@query("select a.doc_id, count(b.doc_id) as same_lang_type from documents a join (select doc_id, lang, doc_type from documents where doc_id <= 50) b on a.lang is not distinct from b.lang and a.doc_type is not distinct from b.doc_type group by 1")
+@query("select a.doc_id, n as same_lang_type from documents a join (select lang, doc_type, count(*) as n from documents group by 1, 2) b on a.lang is not distinct from b.lang and a.doc_type is not distinct from b.doc_type")
 def null_safe_match(spark, root):
     docs = table(spark, root, "documents").select("doc_id", "lang", "doc_type")
-    # counts per key first: equal rows are matched once
-    keys = docs.where("doc_id <= 50").groupBy(F.col("lang").alias("l"), F.col("doc_type").alias("t")).agg(F.count("*").alias("same_lang_type"))
+    keys = docs.groupBy(F.col("lang").alias("l"), F.col("doc_type").alias("t")).agg(F.count("*").alias("same_lang_type"))
     return docs.join(keys, F.col("lang").eqNullSafe(F.col("l")) & F.col("doc_type").eqNullSafe(F.col("t"))).select("doc_id", "same_lang_type")
 
 
