@@ -119,11 +119,11 @@ class Corpus:
     def rare(self, text: str, runs: list[tuple[int, int]]) -> bool:
         """Whether the pairs of some run are too rare for sound text, on average of their logs."""
         floor = math.log(max(3.0, RARE * self.n))
-        for a, z in runs:
-            total, n, _ = self.fluency(text[max(0, a - 1) : z + 1])
-            if n and total / n < floor:
-                return True
-        return False
+        a = points(text)
+        wide = (a[:-1] > 127) | (a[1:] > 127)
+        logs = np.where(wide, np.log(self.pairs[pair_slots(a)] + 0.3) - floor, 0.0)
+        total = np.concatenate(([0.0], np.cumsum(logs)))
+        return any(total[min(z, len(logs))] < total[max(0, b - 1)] for b, z in runs)
 
     def runs(self, text: str) -> list[tuple[int, int]]:
         """Maximum-scoring segments of improbable pairs, grown to whole runs beyond ASCII."""
@@ -154,6 +154,13 @@ class Corpus:
         return [(int(f[0]), int(f[1])) for f in found]
 
 
+@lru_cache(maxsize=32)
+def ends(encoding: str) -> tuple[frozenset, frozenset]:
+    """Characters that begin and that continue a UTF-8 sequence under ``encoding``."""
+    table = high(encoding)
+    return frozenset(table[0xC2 - 128 : 0xF5 - 128]), frozenset(table[:64])
+
+
 def as_utf8(text: str, reading: str) -> tuple[str, int]:
     """``text`` with its UTF-8 sequences under ``reading`` decoded, and the number of characters they had."""
     pattern, inverse = sequences(reading)
@@ -180,18 +187,21 @@ def restore_run(run: str, corpus: Corpus, left: str = " ", right: str = " ") ->
         total, n, _ = corpus.fluency(left + s + right)
         return total / n if n else 9.0
 
-    best, now, seen = (value(run), run, ""), [(run, "")], {run}
+    best, now, seen = None, [(run, "")], {run}
     for _ in range(4):  # texts garbled twice may gain nothing until the second step
         further = []
         for s, path in now:
+            signs = set(s)
             for reading in READINGS:
+                if any(e.isdisjoint(signs) for e in ends(reading)):
+                    continue
                 plain, used = as_utf8(s, reading)
                 if used and plain not in seen:
                     seen.add(plain)
                     further.append((plain, f"{path} utf-8>{reading}".strip()))
-                    best = max(best, (value(plain), *further[-1]), key=lambda x: x[0])
+                    best = max(best or (value(run), run, ""), (value(plain), *further[-1]), key=lambda x: x[0])
         now = further
-    return best[1], best[2]
+    return best[1:] if best else (run, "")
 
 
 @lru_cache(maxsize=128)
