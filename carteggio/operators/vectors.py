@@ -91,3 +91,17 @@ def few_shot(df: DataFrame, examples: DataFrame, key: str, vector: str, least: f
 
 def numbered(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
     return df.withColumn("position", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+
+
+def separation(df: DataFrame, group: str, vector: str) -> DataFrame:
+    """One row (calinski_harabasz, davies_bouldin) by Euclidean distance, from centroids and their pairs only."""
+    c = centroids(df, group, vector)
+    all_ = centroids(df.withColumn("_all", F.lit(1)), "_all", vector).select(F.col("centroid").alias("mean"), F.col("size").alias("total"))
+    gap = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    far = df.select(group, doubles(vector).alias("v")).join(c, group).withColumn("d", gap(F.col("v"), F.col("centroid")))
+    spread = far.groupBy(group).agg(F.avg("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("w"))
+    g = c.join(spread, group).crossJoin(F.broadcast(all_)).withColumn("b", F.col("size") * F.pow(gap(F.col("centroid"), F.col("mean")), 2))  # one row
+    other = g.select(F.col(group).alias("_o"), F.col("centroid").alias("_c"), F.col("s").alias("_s"))
+    worst = g.join(other, F.col(group) != F.col("_o")).groupBy(group).agg(F.max((F.col("s") + F.col("_s")) / gap(F.col("centroid"), F.col("_c"))).alias("r"))
+    k = F.count("*")
+    return g.join(worst, group).agg(((F.sum("b") / (k - 1)) / (F.sum("w") / (F.max("total") - k))).alias("calinski_harabasz"), F.avg("r").alias("davies_bouldin"))

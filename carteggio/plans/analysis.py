@@ -368,3 +368,64 @@ def vec_pca2d(spark, root):
 def instants_by_source(spark, root):
     e = timestamps.normalise(table(spark, root, "emails").select("id", "source_file_id", "sent_at", "imported_at"), table(spark, root, "source_files"))
     return e.groupBy("source_file_id").agg(F.count("*").alias("n"), F.count("sent_us").alias("readable"), F.min("sent_us").alias("first_us"), F.max("sent_us").alias("last_us"))
+
+
+# --- compositions
+
+
+@query(f"""with {_CENTRE}, a as (select dim, avg(x) as m from p group by 1), g as (select list(m order by dim) as mean from a), s as (select label, count(*) as n from embeddings group by 1),
+ d as (select e.label, list_distance(embedding::double[], c) as d from embeddings e join z on z.label = e.label), w as (select label, avg(d) as s, sum(d * d) as w from d group by 1),
+ x as (select z.label, z.c, s.n, w.s, w.w, s.n * list_distance(z.c, g.mean) ** 2 as b from z join s on s.label = z.label join w on w.label = z.label, g),
+ r as (select i.label, max((i.s + j.s) / list_distance(i.c, j.c)) as r from x i join x j on i.label <> j.label group by 1)
+ select round((sum(b) / (count(*) - 1)) / (sum(w) / (sum(n) - count(*))), 6) as calinski_harabasz, round(avg(r), 6) as davies_bouldin from x join r on r.label = x.label""")
+def vec_separation(spark, root):
+    s = V.separation(table(spark, root, "embeddings"), "label", "embedding")
+    return s.select(*[F.round(c, 6).alias(c) for c in s.columns])
+
+
+@query(f"""with t as (select id, substring('Oggetto: ' || {_SUBJECT} || chr(10) || 'Partecipanti: ' || array_to_string({_PARTS}, ', ') || chr(10) || coalesce(body_plain, ''), 1, 60000) as content from emails)
+ select id, length(content) as chars, sha256(content) as content_hash from t""")
+def semantic_documents(spark, root):
+    e = table(spark, root, "emails")
+    m = e.select("id", "subject", "body_plain").join(C.participants(e), "id")
+    content = F.substring(F.concat(F.lit("Oggetto: "), T.subject(F.col("subject")), F.lit("\nPartecipanti: "), F.array_join("participants", ", "), F.lit("\n"), F.coalesce("body_plain", F.lit(""))), 1, 60000)
+    return m.select("id", content.alias("c")).select("id", F.length("c").cast("long").alias("chars"), F.sha2("c", 256).alias("content_hash"))
+
+
+@query("""select id, cleaning_version, language, null::double as quality_score from clean_texts where cleaning_version = (select min(cleaning_version) from clean_texts)
+ union all select id, cleaning_version, language, quality_score from clean_texts where cleaning_version > (select min(cleaning_version) from clean_texts)""")
+def additive_schema(spark, root):
+    clean = table(spark, root, "clean_texts")
+    oldest = clean.agg(F.min("cleaning_version").alias("oldest"))
+    marked = clean.crossJoin(F.broadcast(oldest)).select("id", "cleaning_version", "language", "quality_score", (F.col("cleaning_version") == F.col("oldest")).alias("old"))  # one row
+    return marked.where("old").drop("quality_score", "old").unionByName(marked.where("not old").drop("old"), allowMissingColumns=True)
+
+
+@query("select id, priority from (select id, round((1 - quality_score) * 40 + least(length(body_current_message_clean), 3000) / 100.0, 6) as priority from clean_texts where quality_score is not null and body_current_message_clean is not null) order by priority desc, id limit 1")
+def next_by_priority(spark, root):
+    c = table(spark, root, "clean_texts").where("quality_score is not null and body_current_message_clean is not null")
+    priority = F.round((1 - F.col("quality_score")) * 40 + F.least(F.length("body_current_message_clean"), F.lit(3000)) / 100.0, 6)
+    return c.select("id", priority.alias("priority")).orderBy(F.col("priority").desc(), "id").limit(1)
+
+
+@query("""select e.id, s.path, coalesce(c.language, 'none') as language, substring(coalesce(c.body_current_message_clean, e.body_plain, ''), 1, 500) as summary,
+ list_sort(list_distinct(regexp_extract_all(lower(coalesce(e.sender, '')), '@([a-z0-9.-]+[a-z0-9])', 1)))[1] as main_domain from emails e left join source_files s on s.id = e.source_file_id
+ left join (select email_id, r.l as language, r.t as body_current_message_clean from (select email_id, arg_max({'l': language, 't': body_current_message_clean}, id) as r from clean_texts group by 1)) c on c.email_id = e.id""")
+def wide_export(spark, root):
+    c = R.latest(table(spark, root, "clean_texts").select("email_id", "id", "language", "body_current_message_clean"), ["email_id"], ["id"]).select(F.col("email_id").alias("id"), "language", "body_current_message_clean")
+    s = table(spark, root, "source_files").select(F.col("id").alias("source_file_id"), "path")
+    e = table(spark, root, "emails").select("id", "source_file_id", "sender", "body_plain").join(s, "source_file_id", "left").join(c, "id", "left")
+    summary = F.substring(F.coalesce("body_current_message_clean", "body_plain", F.lit("")), 1, 500)
+    domain = F.get(F.array_sort(F.array_distinct(T.domains(F.coalesce("sender", F.lit(""))))), F.lit(0))
+    return e.select("id", "path", F.coalesce("language", F.lit("none")).alias("language"), summary.alias("summary"), domain.alias("main_domain"))
+
+
+@query()
+def topic_discovery(spark, root):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import IDF, HashingTF, Normalizer
+
+    docs = table(spark, root, "documents").where("text is not null").select("doc_id", T.words(F.col("text"), 3).alias("w"))
+    tf = HashingTF(inputCol="w", outputCol="tf", numFeatures=1 << 12).transform(docs)
+    unit = Normalizer(inputCol="idf", outputCol="features").transform(IDF(inputCol="tf", outputCol="idf").fit(tf).transform(tf)).select("doc_id", "features")
+    return KMeans(k=20, seed=42, maxIter=10).fit(unit).transform(unit).select("doc_id", F.col("prediction").alias("topic"))
