@@ -31,6 +31,7 @@ READINGS = ("latin-1", "cp1252", "mac_roman", "cp437", "cp850", "koi8_r", "cp125
 SINGLE = ("cp1252", "cp1251", "koi8_r", "mac_roman", "cp850", "cp437", "iso8859_7", "cp1250")
 LOST = re.compile(r"�|(?<=[^\W\d_])\?{2,}(?=[^\W\d_])|(?<=[^\W\d_])\?{2,}(?= [^\W\d_A-Z]| \d)|(?<= )\?{2,}(?= [^\W_])|(?<=[^\W\d_A-Z])\?(?=[^\W\d_A-Z]).*(?<=[^\W\d_A-Z])\?(?=[^\W\d_A-Z])|(?<!\?)\?{2,}(?=[^\W\d_])|\?{6,}", re.S)
 WIDE = re.compile(r"[^\x00-\x7f]+")
+PAIRED = re.compile(r"[^\x00-\x7f]{2,}")
 
 
 @lru_cache(maxsize=32)
@@ -191,7 +192,7 @@ def restore_run(run: str, corpus: Corpus, left: str = " ", right: str = " ") ->
     for _ in range(4):  # texts garbled twice may gain nothing until the second step
         further = []
         for s, path in now:
-            signs = set(s)
+            signs = set("".join(PAIRED.findall(s)))  # a sequence has two signs at least
             for reading in READINGS:
                 if any(e.isdisjoint(signs) for e in ends(reading)):
                     continue
@@ -238,6 +239,10 @@ def restore_single(text: str, runs: list[tuple[int, int]], corpus: Corpus) -> tu
     return (best[1], best[2]) if best else (text, "")
 
 
+def lost(text: str) -> bool:
+    return "\ufffd" in text or "??" in text and LOST.search(text) is not None or text.count("?") > 1 and LOST.search(text) is not None
+
+
 def restore(text: str, corpus: Corpus) -> tuple[str, str, str]:
     """(text, status, mappings): status is ``sound``, ``restored`` or ``lost``."""
     if not text.isascii():
@@ -252,8 +257,8 @@ def restore(text: str, corpus: Corpus) -> tuple[str, str, str]:
             if not path and corpus.rare(text, runs):
                 plain, path = restore_single(text, runs, corpus)
             if path:
-                return (plain, "lost", path) if LOST.search(plain) else (plain, "restored", path)
-    return (text, "lost", "") if LOST.search(text) else (text, "sound", "")
+                return (plain, "lost", path) if lost(plain) else (plain, "restored", path)
+    return (text, "lost", "") if lost(text) else (text, "sound", "")
 
 
 def repair(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
