@@ -219,15 +219,15 @@ def restore_single(text: str, runs: list[tuple[int, int]], corpus: Corpus) -> tu
             lines.append((at, at + len(line)))
         at += len(line)
     best = None
+    scopes = [(scope, {c for a, z in scope for c in set(text[a:z]) if c > "\x7f"}) for scope in ([(0, len(text))], lines, runs)]
     for wrong in READINGS[1:]:
         known = set(high(wrong))
-        for right in SINGLE:
+        fit = [scope for scope, signs in scopes if signs <= known]
+        for right in SINGLE if fit else ():
             if right == wrong:
                 continue
             table = exchange(wrong, right)
-            for scope in ([(0, len(text))], lines, runs):
-                if any(c > "\x7f" and c not in known for a, z in scope for c in text[a:z]):
-                    continue
+            for scope in fit:
                 out, last = [], 0
                 for a, z in scope:
                     out += [text[last:a], text[a:z].translate(table)]
