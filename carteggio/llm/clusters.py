@@ -6,8 +6,9 @@ amounts, quantise them; a cell that holds more than ``dense`` rows is divided al
 still dense after the last one (many rows about one point) is worked in salted blocks that share pivots. Inside a
 cell an exact cosine search from the cell's visited rows to its unvisited ones links the similar rows, without
 listing pairs. Cells of different grids that share a row are adjacent; smallest labels then spread over all links to
-convergence. The grids only propose: every link is an exact cosine, and ``tests`` measure the recall of clusters
-against brute force.
+convergence. The grids only propose the first sets; every link is an exact cosine. What they missed is then found
+exactly: all sets meet in pairs of bounded blocks, sets whose centres are further apart than their radii and the angle
+of ``least`` cannot touch (triangle inequality), and the rows of all others are compared. The result equals brute force.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from carteggio.session import cut
 LEAST, SMALLEST = 0.8, 5
 #: Grids, cell width, directions used at each level of division, rows of a dense cell, pivots of a block, rows of the sample.
 GRIDS, WIDTH, LEVELS, DENSE, PIVOTS, SAMPLE = 6, 0.4, (4, 8, 12, 16, 24), 1000, 64, 4096
+#: Bytes of vectors in a block of whole sets, and blocks of a model at least.
+BLOCK, BLOCKS = 1 << 24, 4
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -161,6 +164,76 @@ def links(df: DataFrame, least: float = LEAST) -> DataFrame:
     return placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(search, "id long, to long, cell long")
 
 
+def touching(v: np.ndarray, label: np.ndarray, side: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs of labels with a similar pair of rows across them, from unit vectors of two sides (0 and 1, or 0 alone).
+
+    One pair of rows is enough for a pair of labels; with two sides only rows of different sides are compared.
+    """
+    order = np.lexsort((label, side))
+    v, label, side = v[order], label[order], side[order]
+    begins = np.flatnonzero(np.concatenate(([True], (np.diff(label) != 0) | (np.diff(side) != 0))))
+    ends = np.append(begins[1:], len(v))
+    own, part = label[begins], side[begins]
+    centre = np.add.reduceat(v, begins, axis=0)
+    norm = np.linalg.norm(centre, axis=1, keepdims=True)
+    centre = np.where(norm > 1e-9, centre / np.maximum(norm, 1e-9), v[begins])
+    radius = np.arccos(np.clip(np.minimum.reduceat(np.einsum("ij,ij->i", v, np.repeat(centre, ends - begins, axis=0)), begins), -1, 1))
+    radius[ends - begins == 1] = 0
+    two, floor = part.any(), least - 1e-9
+    left = np.flatnonzero(part == 0)
+    right = np.flatnonzero(part == 1) if two else left
+    out, reach = set(), np.arccos(floor) + 1e-5
+    for a in range(0, len(left), 512):
+        some = left[a : a + 512]
+        angle = np.minimum(radius[some][:, None] + radius[right][None, :] + reach, np.pi)
+        near = (centre[some] @ centre[right].T >= np.cos(angle) - 1e-9) & (own[some][:, None] != own[right][None, :])
+        if not two:
+            near &= some[:, None] < right[None, :]
+        for i, row in zip(some, near):
+            wanted = right[row]
+            if not len(wanted):
+                continue
+            at = np.concatenate([np.arange(begins[j], ends[j]) for j in wanted])
+            for b in range(begins[i], ends[i], 64):
+                hit = np.zeros(len(at), dtype=bool)
+                for c in range(0, len(at), 8192):
+                    hit[c : c + 8192] = (v[at[c : c + 8192]] @ v[b : min(b + 64, ends[i])].T >= floor).any(axis=1)
+                if hit.any():
+                    met = np.unique(label[at[hit]])
+                    out.update((min(int(own[i]), int(m)), max(int(own[i]), int(m))) for m in met)
+                    at = at[~np.isin(label[at], met)]
+                    if not len(at):
+                        break
+    return sorted(out)
+
+
+def bridges(df: DataFrame, least: float = LEAST) -> DataFrame:
+    """(a, b): all pairs of different labels with a similar pair of rows, from (label, id, model, vec), exactly.
+
+    A label's rows stand in one block unless they fill more than a quarter of one; every pair of blocks of a model meets.
+    """
+    sizes = df.groupBy("model", "label").agg(F.count("*").alias("n"))
+    models = df.groupBy("model").agg(F.greatest(F.lit(BLOCKS), F.ceil(F.sum(4.0 * F.size("vec")) / BLOCK).cast("int")).alias("blocks"), F.ceil(BLOCK / 16 / F.max(F.size("vec"))).alias("most"))
+    salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / F.col("most")))
+    rows = df.join(sizes.join(F.broadcast(models), "model"), ["model", "label"]).withColumn("block", F.pmod(F.xxhash64("label", salt), F.col("blocks")))
+    rows = rows.select("label", "vec", "model", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pair = F.xxhash64("model", F.least("block", "other"), F.greatest("block", "other"))
+    rows = rows.select("label", "vec", pair.alias("cell"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _batches(batches, "cell"):
+            cell, label, side, vec = t.column("cell").to_numpy(), t.column("label").to_numpy(), t.column("side").to_numpy(), t.column("vec").combine_chunks()
+            sizes, flat = np.diff(vec.offsets.to_numpy()), vec.flatten().to_numpy()
+            begins = np.concatenate(([0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]))
+            offset = np.concatenate(([0], np.cumsum(sizes)))
+            for a, z in zip(begins[:-1], begins[1:]):
+                met = touching(unit(flat[offset[a] : offset[z]].reshape(z - a, -1)), label[a:z], side[a:z], least)
+                if met:
+                    yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in met]), pa.array([m[1] for m in met])], ["a", "b"])
+
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long").distinct()
+
+
 def cluster(df: DataFrame, least: float = LEAST, smallest: int = SMALLEST, key: str = "id", model: str = "model_name", vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
     """Members (id, cluster_id) and clusters (cluster_id, model, size, typical).
 
@@ -170,14 +243,21 @@ def cluster(df: DataFrame, least: float = LEAST, smallest: int = SMALLEST, key:
     fit, _ = cut(usable(df, key, model, vector).withColumns({"h": F.xxhash64("vec"), "h2": F.xxhash64("vec", F.lit(2))}))
     same = fit.groupBy("model", "h", "h2").agg(F.min("id").alias("rep"))
     copies, _ = cut(fit.select("id", "model", "h", "h2").join(same, ["model", "h", "h2"]).select("id", "model", "rep"))
-    found, _ = cut(links(fit.join(copies.where("id = rep").select("id"), "id", "left_semi").select("id", "model", "vec"), least))
+    distinct = fit.join(copies.where("id = rep").select("id"), "id", "left_semi").select("id", "model", "vec")
+    found, _ = cut(links(distinct, least))
     labels = connected_components(found.select(F.col("id").alias("src"), F.col("to").alias("dst")))
+    # sets that no grid brought together
+    sets = distinct.join(labels.withColumnRenamed("node", "id"), "id", "left").select(F.coalesce("component", "id").alias("label"), "id", "model", "vec")
+    joined = connected_components(bridges(sets, least), "a", "b")
+    labels = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    labels, _ = cut(labels.unionByName(joined))
     members = copies.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("id", "model", "rep", F.coalesce("component", "rep").alias("cluster_id"))
     sizes = members.groupBy("cluster_id").agg(F.count("*").alias("size"), F.first("model").alias("model")).where(F.col("size") >= smallest)
     members = members.join(sizes.select("cluster_id"), "cluster_id")
     members, _ = cut(members)
-    inside = members.join(found.select(F.col("id").alias("rep"), "cell").distinct(), "rep")
-    density = inside.groupBy("cluster_id", "cell").agg(F.count("*").alias("n"))
+    # rows that share a cell with no other count as cell 0, the last resort
+    inside = members.join(found.select(F.col("id").alias("rep"), "cell").distinct(), "rep", "left").withColumn("cell", F.coalesce("cell", F.lit(0)))
+    density = inside.groupBy("cluster_id", "cell").agg(F.when(F.col("cell") == 0, 0).otherwise(F.count("*")).alias("n"))
     densest = density.groupBy("cluster_id").agg(F.max(F.struct("n", "cell"))["cell"].alias("cell"))
     core = inside.join(densest, ["cluster_id", "cell"])
     # five smallest ids of a core, at most five kept per group of ids before they meet

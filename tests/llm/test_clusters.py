@@ -52,3 +52,24 @@ def test_empty_and_single(spark):
     kind = "id long, model_name string, embedding array<float>"
     assert clusters.cluster(spark.createDataFrame([], kind))[0].count() == 0
     assert clusters.cluster(spark.createDataFrame([(i, "m", [1.0, 0.0]) for i in range(5)], kind))[0].count() == 5
+
+
+def test_equals_brute_force_beside_hot_groups(spark, monkeypatch):
+    """Small groups beside hot ones, loose chains and split cells: the clusters of brute force, whatever the grids propose."""
+    rng = np.random.default_rng(11)
+    hot = np.eye(32)[0]
+    rows = [(i + 1, "a", (hot + rng.standard_normal(32) * 0.05).tolist()) for i in range(500)]
+    for c in range(12):  # groups of five at the rim of the hot group
+        centre = hot + np.eye(32)[c + 1] * 0.95
+        rows += [(len(rows) + 1 + i, "a", (centre + rng.standard_normal(32) * 0.06).tolist()) for i in range(5)]
+    for _ in range(8):  # chains, each link just above the least cosine
+        a, b = np.linalg.qr(rng.standard_normal((32, 2)))[0].T
+        rows += [(len(rows) + 1 + i, "a", (np.cos(i * 0.64) * a + np.sin(i * 0.64) * b).tolist()) for i in range(7)]
+    df = spark.createDataFrame(rows, "id long, model_name string, embedding array<float>")
+    exact = [(i, m, np.array(v, dtype=np.float32)) for i, m, v in rows]
+    for dense, block in ((1000, 1 << 24), (30, 1 << 24), (30, 1 << 13)):  # the last with divided sets and many blocks
+        monkeypatch.setattr(clusters, "DENSE", dense)
+        monkeypatch.setattr(clusters, "BLOCK", block, raising=False)
+        members, found = clusters.cluster(df)
+        assert {(r["id"], r["cluster_id"]) for r in members.collect()} == brute(exact)
+        assert all(r["typical"] for r in found.collect())
