@@ -1,6 +1,7 @@
 """Restore texts that were read under a wrong character encoding (problem 10).
 
-First pass: in how many documents does each pair of adjacent characters occur, for pairs with a character beyond
+Every distinct text is counted and judged once, so a text does not become normal by its copies; the results are joined
+back to all rows by the hash of the text. First pass: in how many distinct texts does each pair of adjacent characters occur, for pairs with a character beyond
 ASCII. The counts live in a table of fixed size addressed by a hash, so what is broadcast does not grow with the
 corpus. Second pass, per document: every such pair is scored by its share of the corpus's mutual information,
 ``p(ab) log(p(ab) / p(a)p(b))``; improbable pairs score above zero, plain ASCII below, and the maximum-scoring
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from carteggio.session import cut
+
 PAIRS, CHARS = 1 << 18, 1 << 16
 #: A pair with a smaller share of the mutual information is improbable; score of an ASCII character between runs.
 SHARE, ASCII_SCORE = 0.3, -0.04
@@ -262,25 +265,30 @@ def restore(text: str, corpus: Corpus) -> tuple[str, str, str]:
 
 
 def repair(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, restored, status, mappings) of every row whose text is garbled.
+    """(key, restored, status, mappings) of every row whose text is garbled, copies included.
 
     ``lost`` are texts in which characters were replaced (U+FFFD, or question marks in place of letters). Null,
     empty and ASCII texts without such marks are sound and give no row; equal texts come out alike.
     """
-    pairs, chars, n = counts(df, text)
+    h, h2 = F.xxhash64(text), F.xxhash64(text, F.lit(2))
+    rows = df.where(F.col(text) != "").select(F.col(key).alias("key"), F.col(text).alias("text"), h.alias("h"), h2.alias("h2"))
+    distinct, _ = cut(rows.select("h", "h2", "text").dropDuplicates(["h", "h2"]))  # copies go before the shuffle
+    pairs, chars, n = counts(distinct)
     shared = df.sparkSession.sparkContext.broadcast((pairs, chars, n))  # fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         corpus = Corpus(*shared.value)
         for b in batches:
-            out = [[], [], [], []]
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            out = [[], [], [], [], []]
+            for k, k2, t in zip(*(b.column(i).to_pylist() for i in range(3))):
                 plain, status, path = restore(t, corpus)
                 if status != "sound":
-                    for column, v in zip(out, (k, plain, status, path)):
+                    for column, v in zip(out, (k, k2, plain, status, path)):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], b.column(0).type), *[pa.array(c, pa.string()) for c in out[1:]]], ["key", "restored", "status", "mappings"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in out[:2]], *[pa.array(c, pa.string()) for c in out[2:]]], ["h", "h2", "restored", "status", "mappings"])
 
-    kind = df.schema[key].dataType.simpleString()
-    found = df.where(F.col(text).rlike(r"[^\x00-\x7f]|\?")).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return found.mapInArrow(run, f"key {kind}, restored string, status string, mappings string").withColumnRenamed("key", key)
+    # the tasks are set by cores and not by size: much work a text
+    spread = distinct.where(F.col("text").rlike(r"[^\x00-\x7f]|\?")).repartition(2 * df.sparkSession.sparkContext.defaultParallelism, "h")
+    found, _ = cut(spread.mapInArrow(run, "h long, h2 long, restored string, status string, mappings string"))
+    copies = rows.where(F.col("text").rlike(r"[^\x00-\x7f]|\?")).select("key", "h", "h2")
+    return copies.join(found, ["h", "h2"]).select(F.col("key").alias(key), "restored", "status", "mappings")

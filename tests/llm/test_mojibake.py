@@ -49,3 +49,17 @@ def test_restore(spark):
 
 def test_empty(spark):
     assert mojibake.repair(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_copies_do_not_make_a_garbled_text_normal(spark):
+    rng = random.Random(5)
+    rows = [(i, sentence(rng)) for i in range(600)]
+    single = "Però la città è già così più avanti, perché l'attività continua."
+    double = "Für die größte Qualität verzögert sich das Geschäft über Österreich."
+    want = {}
+    for i in range(300):  # each a quarter of all rows
+        for start, plain, bad in ((10_000, single, single.encode("cp1252").decode("cp850")), (20_000, double, read_as(double, "cp1252"))):
+            rows.append((start + i, bad))
+            want[start + i] = plain
+    got = {r["doc_id"]: r["restored"] for r in mojibake.repair(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
