@@ -2,10 +2,10 @@
 
 Names are parsed into what identifies them: given name and surname of a person, proper word and line of business of a
 firm; titles, legal forms, order, case and accents are dropped. Candidates meet in blocks of token suffixes: every
-suffix of at least SUFFIX letters of the identifying word, and of the other word refined by the first letters of the
-identifying one (a slip near the end of a word leaves no common suffix). A suffix that is too common is not dropped
-but refined by the other field, then by initials. Inside a block words are compared by the ratio of their longest common
-subsequence; only links are emitted, from each name to the first one it matches. Two spellings that both stand in
+suffix of at least SUFFIX letters of the identifying word, and its first letters (a slip near the end of a word leaves no
+common suffix). A common suffix keeps all its names: it is divided into parts of which every two meet. Inside a block
+words that differ by one letter find each other by what is left without it, given names also by their short forms and
+initials, and are compared by the ratio of their longest common subsequence; only links are emitted, from each name to the first one it matches. Two spellings that both stand in
 mail addresses are different names, however alike. Names with an initial only join the one person they fit best.
 """
 
@@ -13,18 +13,19 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carteggio.llm.pii import fold, senders
 from carteggio.operators.graph import connected_components
 from carteggio.session import cut
 
-#: Least suffix, names in a block before it is refined, least ratio, words broadcast at most.
-SUFFIX, CROWD, RATIO, MOST = 4, 40, 0.8, 1_000_000
+#: Least suffix, names in a part of a block, least ratio, words broadcast at most.
+SUFFIX, PART, RATIO, MOST = 4, 4096, 0.8, 1_000_000
 
 # Lines of business, legal forms, titles, words of offices, short forms of given names.
 BUSINESS = ("costruzioni", "trasporti", "recuperi", "industrie", "servizi", "impianti", "logistica", "ambiente", "engineering", "laboratori", "consulting", "ecologia", "chimica", "energia")
@@ -150,6 +151,33 @@ def fit(a: tuple[str, str], b: tuple[str, str], kind: str, words: Words) -> bool
     return p == q or not (p in words.attested and q in words.attested) and alike(p, q)
 
 
+def slips(w: str) -> set[str]:
+    """``w`` and what is left of it without one letter: two words that are :func:`alike` share one of these."""
+    return {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))} if len(w) > 3 else {w}
+
+
+def near(words: Iterable[str]) -> Iterator[tuple[str, str]]:
+    """All pairs of equal or alike words, each once, without comparing every two."""
+    seen = defaultdict(list)
+    for q in sorted(words):
+        others = set()
+        for v in slips(q):
+            others.update(seen[v])
+            seen[v].append(q)
+        yield q, q
+        yield from ((p, q) for p in sorted(others) if alike(p, q))
+
+
+@lru_cache(maxsize=100_000)
+def traits(other: str, kind: str) -> tuple[frozenset, frozenset]:
+    """What a given name (or line of business) is filed under and looked up by: names that may fit share one of these."""
+    if kind == "f" or len(other) == 1:
+        return frozenset(("=" + other, "l" + other)), frozenset(("=" + other, "w" + other))
+    full = {"=" + v for v in slips(other)} | {"~" + g for g in LONG.get(other, ())}
+    initials = {g[:1] for g in (other, *LONG.get(other, ()))}
+    return frozenset(full | {"w" + x for x in initials}), frozenset(full | {"l" + x for x in initials})
+
+
 def named(emails: DataFrame) -> DataFrame:
     """(id, name) of the senders that have a name and not only an address."""
     s = F.trim("sender")
@@ -197,18 +225,15 @@ def link(entities: DataFrame, emails: DataFrame) -> DataFrame:
     nodes, _ = cut(parsed.select("node", "kind", "other", "main").distinct())
     n = lambda c: F.length(c)
     tails = lambda c, least: F.transform(F.sequence(F.lit(1), F.greatest(n(c) - (least - 1), F.lit(1))), lambda i: F.substr(F.col(c), i))
-    first = F.expr("sort_array(transform(split(other, ' '), x -> substring(x, 1, 1)))[0]")
-    blocks = nodes.select("node", "kind", "other", "main", F.explode(tails("main", SUFFIX)).alias("s"), F.lit("m").alias("by")).unionByName(
-        nodes.select("node", "kind", "other", "main", F.concat(F.col("kind"), F.lit(":"), F.when(F.col("kind") == "f", F.col("other")).otherwise(first), F.lit(":"), F.substring("main", 1, 3)).alias("s"), F.lit("o").alias("by"))
-    )
-    # refine common suffixes by the other field, then by the initials of the main one
-    refined = [F.concat_ws("/", "by", "kind", "s"), F.concat_ws("/", "by", "kind", "s", F.when(F.col("kind") == "f", F.col("other")).otherwise(first)), F.concat_ws("/", "by", "kind", "s", F.when(F.col("kind") == "f", F.col("other")).otherwise(first), F.substring("main", 1, 2))]
-    key = refined[2]
-    for level in (1, 0):
-        size = F.count("*").over(Window.partitionBy(refined[level]))
-        blocks = blocks.withColumn(f"size{level}", size)
-    key = F.when(F.col("size0") <= CROWD, refined[0]).when(F.col("size1") <= CROWD, refined[1]).otherwise(refined[2])
-    blocks = blocks.select(F.xxhash64(key).alias("block"), "node", "kind", "other", "main").distinct()
+    begin = F.concat_ws(":", F.when(F.col("kind") == "f", F.col("other")), F.substring("main", 1, 3))
+    keyed = nodes.select("node", "kind", "other", "main", F.explode(F.transform(tails("main", SUFFIX), lambda x: F.concat_ws("/", F.lit("m"), F.col("kind"), x))).alias("s"))
+    keyed = keyed.unionByName(nodes.select("node", "kind", "other", "main", F.concat_ws("/", F.lit("o"), F.col("kind"), begin).alias("s")))
+    # a crowded block is divided into parts, every two of which meet: who meets whom does not depend on its size
+    keyed, _ = cut(keyed.select(F.xxhash64("s").alias("block"), "node", "kind", "other", "main").distinct())
+    crowded = keyed.groupBy("block").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1")
+    placed = keyed.join(crowded, "block", "left").withColumn("part", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))))
+    placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    blocks = placed.select(F.xxhash64("block", F.least("part", "with"), F.greatest("part", "with")).alias("block"), "node", "kind", "other", "main")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from carteggio.llm.clusters import _batches
@@ -226,22 +251,22 @@ def link(entities: DataFrame, emails: DataFrame) -> DataFrame:
                 mains = defaultdict(list)
                 for i in members:
                     mains[c["main"][i]].append(i)
-                keys = sorted(mains)
-                for x, p in enumerate(keys):
-                    for q in keys[x:]:
-                        if p != q and (abs(len(p) - len(q)) > 1 or not alike(p, q)):
-                            continue
-                        for i in mains[p]:
-                            for j in mains[q]:
-                                if (p != q or i < j) and c["kind"][i] == c["kind"][j]:
-                                    a, b = c["other"][i], c["other"][j]
-                                    short = c["kind"][i] == "p" and (len(a) == 1 or len(b) == 1)
-                                    if short and len(a) != len(b):
-                                        letter, whole = (a, b) if len(a) == 1 else (b, a)
-                                        if any(g[0] == letter for g in {whole, *LONG.get(whole, ())}) and (p == q or not (p in words.attested and q in words.attested)):
-                                            out.append((c["node"][i], c["node"][j], True))
-                                    elif fit((a, p), (b, q), c["kind"][i], words):
-                                        out.append((c["node"][i], c["node"][j], False))
+                slots = {p: defaultdict(list) for p in mains}
+                for p, those in mains.items():
+                    for i in those:
+                        for k in traits(c["other"][i], c["kind"][i])[0]:
+                            slots[p][k].append(i)
+                for p, q in near(mains):
+                    met = {(i, j) for i in mains[p] for k in traits(c["other"][i], c["kind"][i])[1] for j in slots[q].get(k, ()) if (p != q or i < j) and c["kind"][i] == c["kind"][j]}
+                    for i, j in sorted(met):
+                        a, b = c["other"][i], c["other"][j]
+                        short = c["kind"][i] == "p" and (len(a) == 1 or len(b) == 1)
+                        if short and len(a) != len(b):
+                            letter, whole = (a, b) if len(a) == 1 else (b, a)
+                            if any(g[0] == letter for g in {whole, *LONG.get(whole, ())}) and (p == q or not (p in words.attested and q in words.attested)):
+                                out.append((c["node"][i], c["node"][j], True))
+                        elif fit((a, p), (b, q), c["kind"][i], words):
+                            out.append((c["node"][i], c["node"][j], False))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out]), pa.array([o[1] for o in out]), pa.array([o[2] for o in out])], ["src", "dst", "initial"])
 

@@ -26,6 +26,24 @@ def test_link(spark):
     assert names.link(entities.limit(0), emails.limit(0)).count() == 0
 
 
+def test_crowded_endings(spark, monkeypatch):
+    """Short forms with other initials, and slips in the first letters, meet in crowded blocks too."""
+    given = [a + b for a in ("Ar", "Bel", "Cor", "Dul", "Fos", "Gim", "Hov", "Lup", "Mez") for b in ("ando", "issio", "ulfo", "etrio", "onzio", "imbro")]
+    listed = [(i + 1, f"{g} Corvandel") for i, g in enumerate(given)]
+    listed += [(100 + i, f"{g} {s}") for i, (g, s) in enumerate([("Robert", "Corvandel"), ("Bob", "Corvandel"), ("Giuseppe", "Corvandel"), ("Pino", "Corvandel"), ("Margherita", "Corvandel"), ("Rita", "Covrandel"),
+               ("Elizabeth", "Crovandel"), ("Beth", "Corvandel"), ("Ignacio", "Corvandel"), ("I.", "Crovandel"), ("Antonio", "Corvandell"), ("Tonino", "Corvandel")])]
+    entities = spark.createDataFrame([(i, "person", n) for i, n in listed], "id long, entity_type string, display_name string")
+    for part in (names.PART, 7) if hasattr(names, "PART") else (None,):
+        monkeypatch.setattr(names, "PART", part, raising=False)
+        got = {r["record_id"]: r["entity_id"] for r in names.link(entities, mails(spark, [])).collect()}
+        assert got == {101: 100, 103: 102, 105: 104, 107: 106, 109: 108, 111: 110}
+
+
+def test_near_is_alike():
+    words = ["corvandel", "corvnadel", "orvandel", "corvandell", "corvindol", "korvandel", "rossi", "rosi", "ros", "rissa", "rasso", "ross"]
+    assert {frozenset(x) for x in names.near(words)} == {frozenset((a, b)) for a in words for b in words if names.alike(a, b)}
+
+
 def test_lcs():
     assert names.lcs("abcde", "abxde") == 4 and names.lcs("", "a") == 0
     assert names.alike("corvandel", "corvnadel") and names.alike("corvandel", "corvandl") and not names.alike("corvandel", "corvindol") and not names.alike("abc", "abd")
