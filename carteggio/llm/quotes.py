@@ -1,30 +1,34 @@
 """What the sender newly wrote in an e-mail (problem 7).
 
-Threads are reconstructed from the reference headers. Every body is fingerprinted by a rolling hash over its letters
-only, so that quoting marks and wrapping do not matter, and a fixed share of the window hashes is kept as anchors.
-The anchors of a message's lines are compared with those of all messages it cites; runs of lines whose anchors are
-inherited throughout are inherited spans. They are added to what the marks in the text itself tell: quoting prefixes,
+Threads are reconstructed from the reference headers. Every body becomes the sequence of its words, so that quoting
+marks and wrapping do not matter, and every place in it a shingle: the words from there on (and back) until they have SPAN signs.
+The sequence of a message's unmarked lines is aligned with that of each message it cites: where shingles agree, the
+same words follow each other in both, and the shingles together cover each common run to its true ends. Lines covered
+by them are inherited. They are added to what the marks in the text itself tell: quoting prefixes,
 reply and forward headers with the lines that introduce them, then signatures and notices in what is left. Only
-anchors and line numbers are shuffled, never bodies.
+word codes and line numbers are shuffled, never bodies.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carteggio.llm.threads import clean_id, header, ids_in
 from carteggio.session import cut
 
-#: Letters in a window, one window in so many is an anchor, anchors an inherited span needs, share of them inherited.
-WINDOW, EVERY, SPAN, SHARE = 32, 32, 8, 0.8
+#: Signs in a row that an inherited run needs, share of a line's signs in such runs.
+SPAN, SHARE = 80, 0.8
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+WORD = re.compile(r"[^\W_]+")
 
 PREFIX = re.compile(r"\s*(?:[A-Z]{1,3}>|[>|])")
 # Words that introduce quotations, by language.
@@ -199,30 +203,47 @@ def classify(body: str) -> list[str]:
     return kind
 
 
-def anchors(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, line number from 1, hash) of the anchors of all texts, by rolling hash over their letters."""
-    data = [t.encode("utf-8", "replace") for t in texts]
-    raw = np.frombuffer(b"\x00".join(data), dtype=np.uint8)
-    letter = (raw >= 0x80) | ((raw | 32) >= 97) & ((raw | 32) <= 122)
-    at = np.flatnonzero(letter)
-    if len(at) < WINDOW:
-        return (np.zeros(0, np.int64),) * 3
-    new_text, new_line = raw == 0, raw == 10
-    text = np.cumsum(new_text)[at]
-    lines = np.cumsum(new_line)
-    starts = np.concatenate(([0], np.flatnonzero(new_text) + 1))
-    line = lines[at] - np.concatenate(([0], lines))[starts][text] + 1
-    sign = raw[at]
-    sign = np.where(sign < 0x80, sign | 32, sign).astype(np.uint64)
-    power = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(len(at) - 1, BASE))))
-    back = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(len(at) - 1, INVERSE))))
-    total = np.concatenate(([np.uint64(0)], np.cumsum((sign + np.uint64(1)) * power)))
-    h = (total[WINDOW:] - total[:-WINDOW]) * back[: len(at) - WINDOW + 1]
-    h = (h ^ (h >> np.uint64(29))) * BASE
-    keep = (h >> np.uint64(40)) % np.uint64(EVERY) == 0
-    keep &= text[: len(h)] == text[WINDOW - 1 :]
-    pick = np.flatnonzero(keep)
-    return text[pick].astype(np.int64), line[pick].astype(np.int64), h[pick].view(np.int64)
+@lru_cache(maxsize=200_000)
+def code(word: str) -> int:
+    """27 bits of hash and 5 of length; 0 stands for no word."""
+    return (zlib.crc32(word.encode("utf-8", "replace")) >> 5 << 5 | min(len(word), 31)) - (1 << 31)
+
+
+def shingles(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, hash) of the shingles of a sequence; 0 in it is a break that no shingle crosses."""
+    signs = np.where(codes == 0, 0, codes.astype(np.int64) & 31)
+    total = np.concatenate(([0], np.cumsum(signs)))
+    end = np.searchsorted(total, total[:-1] + SPAN)
+    breaks = np.concatenate(([0], np.cumsum(codes == 0)))
+    begin = np.flatnonzero(end <= len(codes))
+    begin = begin[breaks[end[begin]] == breaks[begin]]
+    end = end[begin]
+    if not len(begin):
+        return begin, end, np.zeros(0, dtype=np.uint64)
+    power = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(len(codes) - 1, BASE))))
+    back = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(len(codes) - 1, INVERSE))))
+    sums = np.concatenate(([np.uint64(0)], np.cumsum((codes.astype(np.int64).view(np.uint64) * INVERSE + np.uint64(1)) * power)))
+    return begin, end, (sums[end] - sums[begin]) * back[begin]
+
+
+def inherited(fresh: np.ndarray, line: np.ndarray, old: np.ndarray) -> np.ndarray:
+    """Numbers of the lines of ``fresh`` whose words stand in runs that ``old`` has in the same order."""
+    step = np.zeros(len(fresh) + 1, dtype=np.int64)
+    begin, end, h = shingles(fresh)
+    hit = np.isin(h, shingles(old)[2]) if len(h) else np.zeros(0, dtype=bool)
+    if not hit.any():
+        return line[:0]
+    np.add.at(step, begin[hit], 1)
+    np.add.at(step, end[hit], -1)
+    # forward shingles reach the first word of a run, backward ones its last
+    begin, end, h = shingles(fresh[::-1])
+    hit = np.isin(h, shingles(old[::-1])[2])
+    np.add.at(step, len(fresh) - end[hit], 1)
+    np.add.at(step, len(fresh) - begin[hit], -1)
+    signs = np.where(fresh == 0, 0, fresh.astype(np.int64) & 31)
+    numbers, at = np.unique(line, return_inverse=True)
+    every, covered = np.bincount(at, signs), np.bincount(at, signs * (np.cumsum(step)[:-1] > 0))
+    return numbers[(covered > 0) & (covered >= SHARE * every)]
 
 
 def lines(emails: DataFrame) -> DataFrame:
@@ -244,38 +265,54 @@ def lines(emails: DataFrame) -> DataFrame:
                 part = b.slice(at, 1000)
                 bodies = part.column(3).to_pylist()
                 kinds = [classify(t) for t in bodies]
-                text, line, mark = anchors(bodies)
-                begins = np.searchsorted(text, np.arange(len(bodies) + 1))
-                known, new, left = [], [], []
-                for i, ks in enumerate(kinds):
-                    left.append([k for k, (w, x) in enumerate(zip(ks, bodies[i].split("\n")), 1) if not w and x.strip()])
+                words, known, fresh, at_line, blank = [], [], [], [], []
+                for ks, body in zip(kinds, bodies):
+                    whole, new, number, bare = [], [], [], []
+                    for k, (w, x) in enumerate(zip(ks, body.split("\n")), 1):
+                        codes = [code(v) for v in WORD.findall(x.lower())]
+                        whole += codes
+                        if w:
+                            codes = [0] if new and new[-1] else []  # words before and after a marked line do not follow each other
+                        elif not codes and x.strip():
+                            bare.append(k)
+                        new += codes
+                        number += [k] * len(codes)
+                    words.append(whole), fresh.append(new), at_line.append(number), blank.append(bare)
                     known.append([{"line": k, "kind": w} for k, w in enumerate(ks, 1) if w])
-                    a, z = begins[i], begins[i + 1]
-                    new.append([{"line": x, "mark": m} for x, m in zip(line[a:z].tolist(), mark[a:z].tolist()) if not ks[x - 1]])
-                marks = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(mark))
+                ints = pa.list_(pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), marks,
+                    [part.column(0), part.column(1), part.column(2), pa.array(words, ints),
                      pa.array(known, pa.list_(pa.struct([("line", pa.int64()), ("kind", pa.string())]))),
-                     pa.array(new, pa.list_(pa.struct([("line", pa.int64()), ("mark", pa.int64())]))), pa.array(left, pa.list_(pa.int64()))],
-                    ["id", "own", "cited", "marks", "known", "fresh", "left"],
+                     pa.array(fresh, ints), pa.array(at_line, ints), pa.array(blank, ints)],
+                    ["id", "own", "cited", "words", "known", "fresh", "at", "bare"],
                 )
 
-    kind = "id long, own string, cited array<string>, marks array<long>, known array<struct<line:long,kind:string>>, fresh array<struct<line:long,mark:long>>, left array<long>"
+    kind = "id long, own string, cited array<string>, words array<int>, known array<struct<line:long,kind:string>>, fresh array<int>, at array<int>, bare array<int>"
     base, _ = cut(rows.mapInArrow(read, kind))
     marked = base.select("id", F.explode("known").alias("k")).select("id", F.col("k.line").alias("line_no"), "k.kind")
-    # anchors of the cited messages; several copies of a message have the same ones, so the smallest id will do
-    owners = base.where("own is not null and size(marks) > 0").groupBy("own").agg(F.min_by("marks", "id").alias("marks"))
-    fresh = base.where("size(fresh) > 0")
-    links = fresh.select("id", F.explode("cited").alias("own")).where(F.col("own").isNotNull())
-    inherited = links.join(owners, "own").select("id", F.explode("marks").alias("mark")).distinct().withColumn("hit", F.lit(1))
-    lined = fresh.where("size(cited) > 0").select("id", F.explode("fresh").alias("f")).select("id", F.col("f.line").alias("line_no"), F.col("f.mark").alias("mark"))
-    share = lined.join(inherited, ["id", "mark"], "left").groupBy("id", "line_no").agg(F.count("*").alias("n"), F.count("hit").alias("hits"))
-    order = Window.partitionBy("id").orderBy("line_no")  # the lines of one message
-    broken = F.sum((F.col("hits") < SHARE * F.col("n")).cast("int")).over(order)
-    spans = share.withColumn("span", broken).where(F.col("hits") >= SHARE * F.col("n"))
-    spans = spans.groupBy("id", "span").agg(F.sum("hits").alias("all"), F.min("line_no").alias("first"), F.max("line_no").alias("last")).where(F.col("all") >= SPAN)
-    # lines too short for an anchor belong to the span around them
-    within = base.select("id", F.explode("left").alias("line_no")).join(spans, "id").where(F.col("line_no").between(F.col("first"), F.col("last")))
+    # words of the cited messages; several copies of a message have the same ones, so the smallest id will do
+    cites = base.where("size(fresh) > 0").select("id", "fresh", "at", "bare", F.explode("cited").alias("own")).where(F.col("own").isNotNull())
+    first = base.where("own is not null and size(words) > 0").groupBy("own").agg(F.min("id").alias("id"))
+    owners = base.where("size(words) > 0").select("id", "own", "words").join(first, ["id", "own"], "left_semi").dropDuplicates(["own"])
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, found = b.column(0).to_pylist(), [[], []]
+            for i in range(b.num_rows):
+                fresh, line, bare, old = (b.column(c)[i].values.to_numpy() for c in range(1, 5))
+                got = inherited(fresh, line, old)
+                if len(got):
+                    # lines without words belong to the run on both sides of them
+                    has = np.unique(line)
+                    for k in bare:
+                        j = int(np.searchsorted(has, k))
+                        if 0 < j < len(has) and has[j - 1] in got and has[j] in got:
+                            got = np.append(got, k)
+                    found[0] += [ids[i]] * len(got)
+                    found[1] += got.tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["id", "line_no"])
+
+    within = cites.join(owners.select("own", "words"), "own").select("id", "fresh", "at", "bare", "words").mapInArrow(align, "id long, line_no long")
     return marked.unionByName(within.select("id", "line_no", F.lit("quoted").alias("kind"))).dropDuplicates(["id", "line_no"])
 
 

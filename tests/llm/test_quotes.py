@@ -30,3 +30,14 @@ def test_inherited_spans(spark):
     text = {r["id"]: r for r in quotes.split(df, quotes.lines(df)).collect()}
     assert text[2]["current_text"].startswith("Nuova riga") and "bozza" in text[2]["quoted_thread_text"] and text[1]["current_text"] == old
     assert quotes.lines(df.limit(0)).count() == 0
+
+
+def test_short_runs_to_their_ends(spark):
+    """Unmarked quotations of some 150 letters, rewrapped, are found whole, their short first and last lines included."""
+    old = "Prima voce.\nIl verbale del sopralluogo resta in bozza e va completata la tabella delle portate.\nServe la firma sul formulario prima del conferimento dei fanghi di depurazione.\nUltima voce qui."
+    quoted = "Prima voce.\nIl verbale del sopralluogo resta in bozza\ne va completata la tabella delle portate. Serve la firma sul\nformulario prima del conferimento\n...\ndei fanghi di depurazione.\nUltima voce qui."
+    shuffled = "Serve la firma sul formulario prima del conferimento dei fanghi di depurazione.\nIl verbale del sopralluogo resta in bozza e va completata la tabella delle portate."
+    rows = [(1, "<a@x>", None, old), (2, "<b@x>", '{"References": "<a@x>"}', "Ecco quanto scritto allora, per comodità.\n\n" + quoted + "\n\nOra manca soltanto la data della visita."),
+            (3, "<c@x>", '{"References": "<a@x>"}', shuffled), (4, "<d@x>", None, quoted)]
+    found = {(r["id"], r["line_no"]) for r in quotes.lines(spark.createDataFrame(rows, "id long, original_message_id string, raw_headers_json string, body_plain string")).collect()}
+    assert found == {(2, k) for k in range(3, 10)}
