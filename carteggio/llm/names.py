@@ -123,7 +123,7 @@ def parse(name: str | None, firm: bool | None, words: Words) -> tuple[str, str,
     tokens = [fold(w) for w in re.findall(r"[^\W\d_]+", person.replace("'", "").replace("’", ""))]
     tokens = [w for w in tokens if w not in TITLES]
     full, initials = [w for w in tokens if len(w) > 1], [w for w in tokens if len(w) == 1]
-    if not full or len(full) > 4:
+    if not full or len(full) > 4 and not any(w in words.given for w in full):  # many words without a given name are no person
         return None
     if len(full) == 1:
         return ("p", initials[0], full[0]) if initials and not words.as_given(full[0]) == full[0] else None

@@ -39,6 +39,14 @@ def test_crowded_endings(spark, monkeypatch):
         assert got == {101: 100, 103: 102, 105: 104, 107: 106, 109: 108, 111: 110}
 
 
+def test_long_names():
+    words = names.Words({"maria": 5, "teresa": 5}, frozenset())
+    want = ("p", "maria teresa", "della rovere corvandel")
+    assert names.parse("Maria Teresa della Rovere Corvandel", False, words) == want
+    assert names.parse("DELLA ROVERE CORVANDEL, Maria Teresa", False, words) == want
+    assert names.parse("gestione rifiuti della zona nord", False, words) is None
+
+
 def test_near_is_alike():
     words = ["corvandel", "corvnadel", "orvandel", "corvandell", "corvindol", "korvandel", "rossi", "rosi", "ros", "rissa", "rasso", "ross"]
     assert {frozenset(x) for x in names.near(words)} == {frozenset((a, b)) for a in words for b in words if names.alike(a, b)}
