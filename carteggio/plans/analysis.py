@@ -263,7 +263,7 @@ def bm25_search(spark, root):
 @query()
 def source_keywords(spark, root):
     docs = table(spark, root, "documents").where("text is not null and source is not null")
-    return terms.keywords(docs, "doc_id", "source", T.words(F.col("text"), 3), [w for t in T.TELLING.values() for w in t], 10).select("source", "term", F.round("score", 6).alias("score"), "rank")
+    return terms.keywords(docs, "doc_id", "source", T.words(F.col("text"), 3), [w for t in T.TELLING.values() for w in t], 10, longest=3).select("source", "term", F.round("score", 6).alias("score"), "rank")
 
 
 @query("select e.id as entity, count(distinct d.id) as documents from atlas_entities e join (select id, unnest(list_distinct(regexp_extract_all(lower(content), '([a-zà-öø-ÿ]{3,})', 1))) as w from atlas_semantic_documents where content is not null) d on d.w = lower(e.display_name) where e.entity_type in ('technical_term', 'public_body') group by 1")
