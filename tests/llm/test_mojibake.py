@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pytest
+
 from carteggio.llm import mojibake
 
 WORDS = "però già è così più quantità città perché attività über für größer verzögert sich l’exploitant n’est déclarée où être año según informe técnico não relatório à".split()
@@ -63,3 +66,31 @@ def test_copies_do_not_make_a_garbled_text_normal(spark):
             want[start + i] = plain
     got = {r["doc_id"]: r["restored"] for r in mojibake.repair(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("share", [0.005, 0.05, 0.1, 0.3, 0.5])
+@pytest.mark.parametrize("how", ["cp850", "utf-8"])
+def test_any_rate_of_garbled_texts(spark, share, how):
+    rng = random.Random(3)
+    rows, want = [], {}
+    for i in range(2000):
+        t = sentence(rng)
+        if rng.random() < share:
+            want[i] = t
+            rows.append((i, read_as(t, "cp1252") if how == "utf-8" else t.encode("cp1252").decode(how)))
+        else:
+            rows.append((i, t))
+    got = {r["doc_id"]: r["restored"] for r in mojibake.repair(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got.get(i) == t for i, t in want.items()) >= 0.95 * len(want)
+    assert not set(got) - set(want)
+
+
+def test_collisions_of_the_sketch():
+    rng = np.random.default_rng(1)
+    seen = np.unique(rng.integers(0, 1 << 42, 300_000).astype(np.uint64))
+    pairs = np.zeros(mojibake.ROWS * mojibake.SLOTS, dtype=np.int32)
+    for s in mojibake.slots(seen):
+        np.add.at(pairs, s, 1)
+    corpus = mojibake.Corpus(pairs, np.zeros(mojibake.CHARS, dtype=np.int32), 1)
+    unseen = rng.integers(0, 1 << 42, 100_000).astype(np.uint64)
+    assert (corpus.documents(seen) >= 1).all() and (corpus.documents(unseen) > 0).mean() < 0.005 and corpus.collisions() < 0.005
