@@ -4,18 +4,22 @@ Parsing, calendar checks and zone arithmetic are built-in expressions only, so
 the whole operator stays in generated code: one anchored regular expression per
 family of forms rewrites a text to ``tag~y~m~d~h~mi~s~fraction~am/pm~rest``.
 
-Texts without any zone get the zone of their source. Where a source declares
-none, its zone is estimated: for every candidate zone the number of rows whose
-instant would lie after their ingestion is counted (one aggregation for all
-sources and candidates), then the distance between send and ingestion; the
-candidate with the fewest violations wins, ties by the order of the candidates.
+Texts without any zone get the zone of their source. Where a source declares none, its offset history is estimated
+from its own rows alone: local times are counted by how far they lie from their ingestion, per half month; the rows of
+such sources that state an offset tell how long ingestion usually takes. A zone costs little where it puts the local
+times at usual distances and much for every instant after its ingestion; the cheapest history over all zones the JVM
+knows, with a price on each change of zone, is found by dynamic programming over the half months of a source.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import UTC, datetime
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Month names and abbreviations by language, zone abbreviations.
@@ -38,8 +42,6 @@ ABBREVIATIONS = {
     "mez": 60, "mesz": 120, "eet": 120, "eest": 180, "msk": 180, "ist": 330, "npt": 345, "jst": 540, "est": -300, "edt": -240,
     "cst": -360, "cdt": -300, "mst": -420, "mdt": -360, "pst": -480, "pdt": -420, "brt": -180, "art": -180,
 }
-CANDIDATES = ("Europe/Rome", "Europe/London", "America/New_York", "Asia/Kolkata", "UTC")
-
 _CLOCK = r"(\d{1,2})[:.](\d{2})(?:[:.](\d{2})(?:[.,](\d+))?)?"
 _HALF = r"(?:\s*([AaPp])\.?[Mm]\.?(?![A-Za-z]))?"
 _AT = r"(?:(?:ore|alle|um|at|à|a las|las)\s+)?"
@@ -58,6 +60,10 @@ _ZONE = (
     r"\s*(?:\[[^\]]*\])?\s*(?:\([^)]*\))?\s*$"
 )
 _DAY_US = 86_400_000_000
+_STEP_US = 900_000_000
+#: Distances of local time from ingestion that are told apart, in quarters of an hour; ends of the classes of delay, in
+#: quarters of an hour; price of an instant after its ingestion and of a change of zone.
+_NEAR, _FAR, _DELAYS, _LATE, _CHANGE = -60, 400, (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 96, 192), 14.0, 12.0
 
 
 def _staged(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -129,37 +135,102 @@ def to_instant(wall: Column, offset: Column, zone: Column) -> Column:
     return F.when(offset.isNotNull(), wall - offset.cast("long") * 60_000_000).when(zone.isNotNull(), F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(wall), zone)))
 
 
-def source_zones(parsed: DataFrame, sources: DataFrame, candidates: Sequence[str] = CANDIDATES) -> DataFrame:
-    """One zone per source: (source, zone, declared, violations).
+def declared_zones(sources: DataFrame) -> DataFrame:
+    """(source, zone) of the sources that declare a zone the JVM knows."""
+    valid = sources.where(F.col("zone_name").isin(known_zones(sources)) & F.col("source").isNotNull())
+    return valid.groupBy("source").agg(F.min("zone_name").alias("zone"))
+
+
+def half_month(wall: Column) -> Column:
+    """Number of the half month of a local time."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(wall / _DAY_US).cast("int"))
+    return (F.year(day) * 24 + (F.month(day) - 1) * 2 + (F.day(day) > 15).cast("int")).cast("int")
+
+
+@lru_cache(maxsize=4)
+def offset_histories(zones: tuple[str, ...], first: int, last: int) -> tuple[list[str], np.ndarray]:
+    """Zones that differ somewhere in these half months, and their offsets in quarters of an hour (zones x half months)."""
+    from zoneinfo import ZoneInfo
+
+    at = [datetime(n // 24, n % 24 // 2 + 1, 23 if n % 2 else 8, 12, tzinfo=UTC) for n in range(first, last + 1)]
+    names, rows, seen = [], [], set()
+    for z in zones:
+        try:
+            zone = ZoneInfo(z)
+        except (KeyError, ValueError, OSError):
+            continue
+        row = tuple(round(t.astimezone(zone).utcoffset().total_seconds() / 900) for t in at)
+        if row not in seen:
+            seen.add(row), names.append(z), rows.append(row)
+    return names, np.array(rows, dtype=np.int64).reshape(len(rows), len(at))
+
+
+def cheapest_history(costs: np.ndarray, change: float = _CHANGE) -> np.ndarray:
+    """For each row (half month) of ``costs`` the column (zone) of the cheapest path, where a change has its price."""
+    best, back = costs[0].copy(), []
+    for c in costs[1:]:
+        j = int(best.argmin())
+        stay = best <= best[j] + change
+        back.append(np.where(stay, np.arange(len(best)), j))
+        best = np.where(stay, best, best[j] + change) + c
+    path = [int(best.argmin())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    return np.array(path[::-1])
+
+
+def zone_histories(parsed: DataFrame, candidates: Sequence[str] | None = None) -> DataFrame:
+    """(source, period, zone) for the half months in which rows without any zone occur.
 
-    ``parsed`` has ``source``, ``_wall``, ``_offset``, ``_zone`` and ``seen_us`` (ingestion). A valid declared zone
-    is the only candidate of its source; sources without one choose among ``candidates``. A source without rows is
-    not reported unless it declares a zone.
+    ``parsed`` has ``source``, ``_wall``, ``_offset``, ``_zone`` and ``seen_us`` (ingestion; rows without it tell
+    nothing, and a source without any gets no zone). Zones alike over the whole span of the data count as one, the first.
     """
-    known = known_zones(parsed)
-    declared = sources.select(F.col("source"), F.when(F.col("zone_name").isin(known), F.col("zone_name")).alias("declared")).where("source is not null").groupBy("source").agg(F.min("declared").alias("declared"))
-    loose = parsed.where("_wall is not null and _offset is null and _zone is null and source is not null")
-    late = []
-    for i, z in enumerate(candidates):
-        lag = F.col("seen_us") - to_instant(F.col("_wall"), F.lit(None), F.lit(z))
-        late += [F.count_if(lag < 0).alias(f"v{i}"), F.sum(F.when(lag >= 0, (lag / 1e6).cast("double"))).alias(f"g{i}")]
-    counts = loose.groupBy("source").agg(*late)
-    scored = counts.select("source", F.array(*[F.struct(F.col(f"v{i}").alias("violations"), F.lit(i).alias("rank"), F.lit(z).alias("zone")) for i, z in enumerate(candidates)]).alias("all"))
-    best = scored.select("source", F.array_min("all").alias("best"))
-    return declared.join(best, "source", "full").select("source", F.coalesce("declared", "best.zone").alias("zone"), F.col("declared").isNotNull().alias("declared"), "best.violations")
+    zones = tuple(candidates or known_zones(parsed))
+    clip = lambda us: F.greatest(F.least(F.floor(us / _STEP_US), F.lit(_FAR)), F.lit(_NEAR)).cast("int")
+    timed = parsed.where("_wall is not null and seen_us is not null and source is not null")
+    stated = timed.where("_offset is not null or _zone is not null").select(clip(F.col("seen_us") - to_instant(F.col("_wall"), F.col("_offset"), F.col("_zone"))).alias("d"))
+    usual = {r["d"]: r["n"] for r in stated.groupBy("d").agg(F.count("*").alias("n")).collect()}  # _FAR - _NEAR + 1 rows at most
+    edges = np.array([*_DELAYS, _FAR])
+    n = np.bincount(np.searchsorted(edges, [d for d in usual if d >= 0], "right") - 1, [usual[d] for d in usual if d >= 0], len(edges)) if usual else np.zeros(len(edges))
+    prior = 1 / np.arange(1, len(edges) + 1)
+    share = (n + 20 * prior / prior.sum()) / (n.sum() + 20)
+    nll = -np.log(share / np.append(np.diff(edges), 400))  # per quarter of an hour; what is far counts as very far
+
+    def choose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        first, last = int(rows["period"].min()), int(rows["period"].max())
+        names, offsets = offset_histories(zones, first, last)
+        at = rows["period"].to_numpy() - first
+        delay = rows["d"].to_numpy()[:, None] + offsets[:, at].T  # rows x zones
+        far = (rows["d"].to_numpy() >= _FAR)[:, None]
+        cost = np.where(delay < 0, _LATE, nll[np.clip(np.searchsorted(edges, np.maximum(delay, 0), "right") - 1, 0, len(nll) - 1)])
+        cost = np.where(far, 0.0, cost) * rows["n"].to_numpy()[:, None]
+        there = np.unique(at)
+        costs = np.zeros((len(there), len(names)))
+        np.add.at(costs, np.searchsorted(there, at), cost)
+        path = cheapest_history(costs)
+        return pd.DataFrame({"source": key[0], "period": there + first, "zone": [names[i] for i in path]})
+
+    # as many rows as a source has half months and distances, however many messages it has
+    loose = timed.where("_offset is null and _zone is null").select("source", half_month(F.col("_wall")).alias("period"), clip(F.col("seen_us") - F.col("_wall")).alias("d"))
+    counts = loose.groupBy("source", "period", "d").agg(F.count("*").alias("n"))
+    kind = parsed.schema["source"].dataType.simpleString()
+    return counts.groupBy("source").applyInPandas(choose, f"source {kind}, period int, zone string")
 
 
 def normalise(df: DataFrame, sources: DataFrame, text: str = "sent_at", source: str = "source_file_id", seen: str = "imported_at",
-              source_key: str = "id", candidates: Sequence[str] = CANDIDATES) -> DataFrame:
+              source_key: str = "id", candidates: Sequence[str] | None = None) -> DataFrame:
     """``df`` plus ``sent_us``: null where ``text`` states no full, valid date and time.
 
-    Null, empty and junk texts give null; a text without a zone whose source is unknown gives null too; rows
-    repeat as given. Columns of ``df`` beginning with ``_`` are reserved.
+    Null, empty and junk texts give null; a text without a zone whose source is null gives null too; rows repeat as
+    given. Only sources without a declared zone are read for an estimate (``candidates``: zones to choose from). Columns of
+    ``df`` beginning with ``_`` are reserved.
     """
-    key = sources.select(F.col(source_key).alias("source"), "zone_name")
-    seen_us = F.unix_micros(F.col(seen).cast("timestamp")) if seen in df.columns else F.lit(None).cast("long")
-    parsed = with_wall_clock(df.withColumns({"_source": F.col(source), "_seen": seen_us}), text)
-    zones = source_zones(parsed.select(F.col("_source").alias("source"), "_wall", "_offset", "_zone", F.col("_seen").alias("seen_us")), key, candidates)
-    zones = zones.select(F.col("source").alias("_source"), F.col("zone").alias("_file_zone"))
-    out = parsed.join(zones, "_source", "left")
-    return out.withColumn("sent_us", to_instant(F.col("_wall"), F.col("_offset"), F.coalesce("_zone", "_file_zone"))).drop("_source", "_seen", "_wall", "_offset", "_zone", "_file_zone")
+    declared = declared_zones(sources.select(F.col(source_key).alias("source"), "zone_name"))
+    parsed = with_wall_clock(df.withColumns({"_source": F.col(source)}), text)
+    out = parsed.join(declared.select(F.col("source").alias("_source"), F.col("zone").alias("_file_zone")), "_source", "left")
+    open_ = df.join(declared.select(F.col("source").alias(source)), source, "left_anti").where(F.col(source).isNotNull()) if seen in df.columns else df.limit(0)
+    if open_.limit(1).count():
+        rows = open_.select(F.col(source).alias("source"), F.col(text).alias("_text"), F.unix_micros(F.col(seen).cast("timestamp")).alias("seen_us"))
+        history = zone_histories(with_wall_clock(rows, "_text"), candidates).select(F.col("source").alias("_source"), F.col("period").alias("_period"), F.col("zone").alias("_guess"))
+        out = out.withColumn("_period", half_month(F.col("_wall"))).join(history, ["_source", "_period"], "left").withColumn("_file_zone", F.coalesce("_file_zone", "_guess")).drop("_period", "_guess")
+    return out.withColumn("sent_us", to_instant(F.col("_wall"), F.col("_offset"), F.coalesce("_zone", "_file_zone"))).drop("_source", "_wall", "_offset", "_zone", "_file_zone")

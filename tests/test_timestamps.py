@@ -1,11 +1,12 @@
 """Instants of mixed texts, against values worked out by hand and zoneinfo."""
 
-from datetime import datetime, timezone
+import random
+from datetime import UTC, datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
 import pytest
 
-from carteggio.operators.timestamps import normalise, source_zones, with_wall_clock
+from carteggio.operators.timestamps import normalise
 
 EMAILS = "id long, source_file_id long, sent_at string, imported_at timestamp, sent_us_note string"
 US = 1_000_000
@@ -64,14 +65,33 @@ def test_forms(spark, sources):
     assert got[0]["sent_us_note"] == "kept"
 
 
-def test_missing_zone_is_estimated(spark, sources):
-    # sent 08:00 New York and ingested an hour later: read as Rome it would lie six hours before, as Kolkata more;
-    # read as any zone west of New York it would lie after its ingestion
-    rows = [(i, 2, f"2020-01-{i:02d} 18:00:00", datetime(2020, 1, i, 12, 40), "") for i in range(1, 20)]
-    parsed = with_wall_clock(spark.createDataFrame(rows, EMAILS), "sent_at").selectExpr("source_file_id source", "_wall", "_offset", "_zone", "unix_micros(imported_at) seen_us")
-    zones = {r["source"]: r for r in source_zones(parsed, sources.selectExpr("id source", "zone_name")).collect()}
-    assert zones[1]["zone"] == "Europe/Rome" and zones[1]["declared"]
-    assert zones[2]["zone"] == "Asia/Kolkata" and not zones[2]["declared"] and zones[2]["violations"] == 0
+def mail(zone, at, delay):
+    """(local text, ingestion) of a message sent at an instant."""
+    return at.astimezone(ZoneInfo(zone)).strftime("%Y-%m-%d %H:%M:%S"), (at + timedelta(hours=delay)).replace(tzinfo=None)
+
+
+def test_missing_zones_are_estimated(spark, sources):
+    # source 2 lies in Kolkata; source 3 moves from Rome to New York, both with daylight time; 4 declares nothing and states offsets
+    rng, rows, want = random.Random(4), [], {}
+    for i in range(3000):
+        at = datetime(2019, 1, 1, tzinfo=UTC) + timedelta(minutes=rng.randrange(2 * 365 * 24 * 60))
+        source = 2 + i % 3
+        zone = "Asia/Kolkata" if source == 2 else "Europe/Rome" if at < datetime(2020, 1, 1, tzinfo=UTC) else "America/New_York"
+        text, seen = mail(zone, at, 2000 if rng.random() < 0.1 else rng.lognormvariate(0.7, 0.8))
+        if source == 4:
+            text += "+01:00" if zone == "Europe/Rome" else "-05:00"
+            source = 3 if rng.random() < 0.5 else 2
+        else:
+            want[i] = round(at.timestamp()) * US
+        rows.append((i, source, text, seen, ""))
+    got = {r["id"]: r["sent_us"] for r in normalise(spark.createDataFrame(rows, EMAILS), sources).collect()}
+    assert sum(got[i] == w for i, w in want.items()) >= 0.97 * len(want)
+
+
+def test_no_estimate_where_all_zones_are_declared(spark, sources):
+    df = spark.createDataFrame([(1, 1, "2020-01-01 10:00", datetime(2020, 1, 1), "")], EMAILS)
+    plan = normalise(df, sources)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInPandas" not in plan
 
 
 def test_unknown_source_and_empty(spark, sources):
