@@ -42,7 +42,7 @@ GAIN, EACH, NEW = 3.0, 1.0, 0.1
 READINGS = ("latin-1", "cp1252", "mac_roman", "cp437", "cp850", "koi8_r", "cp1251", "cp1250")
 SINGLE = ("cp1252", "cp1251", "koi8_r", "mac_roman", "cp850", "cp437", "iso8859_7", "cp1250")
 LOST = re.compile(r"�|(?<=[^\W\d_])\?{2,}(?=[^\W\d_])|(?<=[^\W\d_])\?{2,}(?= [^\W\d_A-Z]| \d)|(?<= )\?{2,}(?= [^\W_])|(?<=[^\W\d_A-Z])\?(?=[^\W\d_A-Z]).*(?<=[^\W\d_A-Z])\?(?=[^\W\d_A-Z])|(?<!\?)\?{2,}(?=[^\W\d_])|\?{6,}", re.S)
-WIDE = re.compile(r"[^\x00-\x7f]+")
+SPANS = re.compile(r"([^\x00-\x7f]+)")
 PAIRED = re.compile(r"[^\x00-\x7f]{2,}")
 
 
@@ -208,6 +208,13 @@ def _signs(encoding: str) -> frozenset:
     return frozenset(high(encoding))
 
 
+@lru_cache(maxsize=32)
+def ends(encoding: str) -> tuple[frozenset, frozenset]:
+    """Characters that begin and that continue a UTF-8 sequence under ``encoding``."""
+    table = high(encoding)
+    return frozenset(table[0xC2 - 128 : 0xF5 - 128]), frozenset(table[:64])
+
+
 class Corpus:
     """Pair statistics of the corpus; what is known of a pair is worked out once and kept in tables."""
 
@@ -222,7 +229,7 @@ class Corpus:
         self.at: dict[int, int] = {}
         self.scores = np.zeros(0)
         self.gains, self.has, self.fresh, self.moved = (np.zeros((0, len(MAPPINGS)), dtype=t) for t in (np.float32, bool, bool, bool))
-        self.most = np.zeros(0, dtype=np.float32)
+        self.most, self.lead = np.zeros(0, dtype=np.float32), np.zeros(0, dtype=bool)
 
     def documents(self, key: np.ndarray) -> np.ndarray:
         """In how many documents each pair occurs: the least of its slots."""
@@ -257,14 +264,15 @@ class Corpus:
         self.gains, self.has, self.fresh = np.vstack((self.gains, gain)), np.vstack((self.has, has)), np.vstack((self.fresh, there < 2))
         self.moved = np.vstack((self.moved, (u != x[:, None]) | (v != y[:, None])))
         self.most = np.concatenate((self.most, np.where(has, gain, -np.inf).max(axis=1)))
+        lead = [any(chr(p) in first and chr(q) in then for first, then in map(ends, READINGS)) for p, q in zip(x.tolist(), y.tolist())]
+        self.lead = np.concatenate((self.lead, np.array(lead, dtype=bool)))
 
-    def suspicion(self, a: np.ndarray) -> np.ndarray:
-        """Score of each pair: above 0 if its share of the mutual information is below SHARE; pairs of ASCII ASCII_SCORE."""
-        out = np.full(len(a) - 1, ASCII_SCORE)
+    def places(self, a: np.ndarray) -> np.ndarray:
+        """Place in the tables of each pair of adjacent code points, -1 for pairs of ASCII."""
+        out = np.full(len(a) - 1, -1, dtype=np.int64)
         wide = np.flatnonzero((a[:-1] > 127) | (a[1:] > 127))
         key, back = np.unique(keys(a[wide], a[wide + 1]), return_inverse=True)
-        at = self.rows(key)
-        out[wide] = self.scores[at[back]]
+        out[wide] = self.rows(key)[back]
         return out
 
     def fluency(self, text: str) -> tuple[float, int, float]:
@@ -276,15 +284,16 @@ class Corpus:
         logs = np.log(self.documents(keys(a[wide], a[wide + 1])) + 0.3)
         return float(logs.sum()), len(wide), float(logs.min())
 
-    def runs(self, text: str) -> list[tuple[int, int]]:
-        """Maximum-scoring segments of improbable pairs, grown to whole runs beyond ASCII."""
-        a = points(f" {text} ")
-        high_ = np.concatenate(([0], (a[1:-1] > 127).view(np.int8), [0]))
-        turn = np.flatnonzero(np.diff(high_))
+    def runs(self, a: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
+        """Maximum-scoring segments of improbable pairs, grown to whole runs beyond ASCII.
+
+        ``a`` are the code points of a text with a blank on both sides, ``at`` the places of their pairs.
+        """
+        turn = np.flatnonzero(np.diff((a > 127).view(np.int8)))
         if not len(turn):
             return []
         begins, ends_ = turn[::2], turn[1::2]
-        total = np.concatenate(([0.0], np.cumsum(self.suspicion(a))))
+        total = np.concatenate(([0.0], np.cumsum(np.where(at < 0, ASCII_SCORE, self.scores[at]))))
         gains = (total[ends_ + 1] - total[begins]).tolist()
         # candidates as in Ruzzo and Tompa: (begin, end, score before, score after), merged from the right
         found: list[list[float]] = []
@@ -307,15 +316,9 @@ class Corpus:
         return [(int(f[0]), int(f[1])) for f in found]
 
 
-@lru_cache(maxsize=32)
-def ends(encoding: str) -> tuple[frozenset, frozenset]:
-    """Characters that begin and that continue a UTF-8 sequence under ``encoding``."""
-    table = high(encoding)
-    return frozenset(table[0xC2 - 128 : 0xF5 - 128]), frozenset(table[:64])
-
-
-def as_utf8(text: str, reading: str) -> tuple[str, int]:
-    """``text`` with its UTF-8 sequences under ``reading`` decoded, and the number of characters they had."""
+@lru_cache(maxsize=200_000)
+def span_as_utf8(span: str, reading: str) -> tuple[str, int]:
+    """:func:`as_utf8` of signs beyond ASCII that stand together; the same ones recur all over a corpus."""
     pattern, inverse = sequences(reading)
     used = 0
 
@@ -328,7 +331,17 @@ def as_utf8(text: str, reading: str) -> tuple[str, int]:
         used += m.end() - m.start()
         return plain
 
-    return pattern.sub(decode, text), used
+    return pattern.sub(decode, span), used
+
+
+def as_utf8(text: str, reading: str) -> tuple[str, int]:
+    """``text`` with its UTF-8 sequences under ``reading`` decoded, and the number of characters they had."""
+    parts, used = SPANS.split(text), 0
+    for i in range(1, len(parts), 2):
+        if len(parts[i]) > 1:
+            parts[i], n = span_as_utf8(parts[i], reading)
+            used += n
+    return "".join(parts), used
 
 
 def restore_run(run: str, corpus: Corpus, left: str = " ", right: str = " ") -> tuple[str, str]:
@@ -357,20 +370,18 @@ def restore_run(run: str, corpus: Corpus, left: str = " ", right: str = " ") ->
     return best[1:] if best else (run, "")
 
 
-def restore_single(text: str, runs: list[tuple[int, int]], corpus: Corpus) -> tuple[str, str]:
+def restore_single(text: str, at: np.ndarray, runs: list[tuple[int, int]], corpus: Corpus) -> tuple[str, str]:
     """Single-byte readings mistaken for each other, inside the suspicious runs.
 
-    All mappings are scored at once from the pairs in and next to the runs; the best one that gains GAIN in all and
-    EACH for every pair, with almost no pair new to the corpus, is applied to the runs whose characters it has.
+    All mappings are scored at once from the pairs in and next to the runs (``at`` are the places of all pairs); the best
+    one that gains GAIN in all and EACH for every pair, with almost no pair new to the corpus, is applied to the runs
+    whose characters it has.
     """
-    a = points(f" {text} ")
-    spots = np.concatenate([np.arange(b, z + 1) for b, z in runs])
-    run = np.repeat(np.arange(len(runs)), [z + 1 - b for b, z in runs])
-    wide = (a[spots] > 127) | (a[spots + 1] > 127)
-    key, back = np.unique(keys(a[spots[wide]], a[spots[wide] + 1]), return_inverse=True)
-    at, run = corpus.rows(key)[back], run[wide]
-    if corpus.most[at].clip(0).sum() <= GAIN:
+    inside = [at[b : z + 1] for b, z in runs]
+    inside = [p[p >= 0] for p in inside]
+    if not any(corpus.most[p].sum() > EACH * len(p) for p in inside):  # no mapping can gain enough
         return text, ""
+    run, at = np.repeat(np.arange(len(runs)), [len(p) for p in inside]), np.concatenate(inside)
     has = np.logical_and.reduceat(corpus.has[at], np.flatnonzero(np.concatenate(([True], np.diff(run) != 0))))
     use = has[run]
     gain, n, fresh = (np.where(use, t, 0).sum(axis=0) for t in (corpus.gains[at], np.float32(1), corpus.fresh[at]))
@@ -392,20 +403,34 @@ def lost(text: str) -> bool:
 
 def restore(text: str, corpus: Corpus) -> tuple[str, str, str]:
     """(text, status, mappings): status is ``sound``, ``restored`` or ``lost``."""
-    if not text.isascii():
-        runs = corpus.runs(text)
-        if runs and "�" not in text:
-            out, last, path = [], 0, ""
-            for a, z in runs:
-                plain, how = restore_run(text[a:z], corpus, text[a - 1 : a] or " ", text[z : z + 1] or " ")
-                out += [text[last:a], plain]
-                last, path = z, path or how
-            plain = "".join(out) + text[last:]
+    return next(restore_all([text], corpus))
+
+
+def restore_all(texts: list[str], corpus: Corpus) -> Iterator[tuple[str, str, str]]:
+    """:func:`restore` of many texts; their pairs are looked up together."""
+    a = points("".join(f" {t} " for t in texts))
+    at = corpus.places(a)
+    begin = 0
+    for text in texts:
+        own, places = a[begin : begin + len(text) + 2], at[begin : begin + len(text) + 1]
+        begin += len(text) + 2
+        plain, path = text, ""
+        runs = corpus.runs(own, places) if not text.isascii() and "\ufffd" not in text else []
+        if runs:
+            wide = places[places >= 0]
+            if corpus.lead[wide].any():  # two signs that may begin a sequence of UTF-8
+                out, last = [], 0
+                for b, z in runs:
+                    better, how = restore_run(text[b:z], corpus, text[b - 1 : b] or " ", text[z : z + 1] or " ")
+                    out += [text[last:b], better]
+                    last, path = z, path or how
+                plain = "".join(out) + text[last:]
             if not path:
-                plain, path = restore_single(text, runs, corpus)
-            if path:
-                return (plain, "lost", path) if lost(plain) else (plain, "restored", path)
-    return (text, "lost", "") if lost(text) else (text, "sound", "")
+                plain, path = restore_single(text, places, runs, corpus)
+        if lost(plain):
+            yield plain, "lost", path
+        else:
+            yield (plain, "restored", path) if path else (text, "sound", "")
 
 
 def repair(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -423,11 +448,12 @@ def repair(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         corpus = Corpus(*shared.value)
         for b in batches:
             out = [[], [], [], [], []]
-            for k, k2, t in zip(*(b.column(i).to_pylist() for i in range(3))):
-                plain, status, path = restore(t, corpus)
-                if status != "sound":
-                    for column, v in zip(out, (k, k2, plain, status, path)):
-                        column.append(v)
+            for at in range(0, b.num_rows, 100):
+                k, k2, texts = (b.column(i).slice(at, 100).to_pylist() for i in range(3))
+                for k, k2, (plain, status, path) in zip(k, k2, restore_all(texts, corpus)):
+                    if status != "sound":
+                        for column, v in zip(out, (k, k2, plain, status, path)):
+                            column.append(v)
             yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in out[:2]], *[pa.array(c, pa.string()) for c in out[2:]]], ["h", "h2", "restored", "status", "mappings"])
 
     # the tasks are set by cores and not by size: much work a text
