@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carteggio.session import cut, discard
+from carteggio.session import cut, discard, tidy
 
 
+@tidy
 def jump(pointers: DataFrame, node: str = "node", to: str = "to") -> DataFrame:
     """Flatten a forest of pointers: ``to`` becomes the root. Roots need no row of their own.
 
@@ -31,6 +32,7 @@ def jump(pointers: DataFrame, node: str = "node", to: str = "to") -> DataFrame:
             return now.select(F.col("node").alias(node), F.col("to").alias(to))
 
 
+@tidy
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for every node of an edge other than the smallest of its component.
 
