@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carteggio.operators.graph import connected_components
-from carteggio.session import cut
+from carteggio.session import cut, tidy
 
 LEAST, SMALLEST = 0.8, 5
 #: Grids, cell width, directions used at each level of division, rows of a dense cell, pivots of a block, rows of the sample.
@@ -101,6 +101,7 @@ def _batches(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Tabl
         yield held
 
 
+@tidy
 def links(df: DataFrame, least: float = LEAST) -> DataFrame:
     """(id, to, cell): in each cell of each grid, every row and the first row of its connected set there.
 
@@ -234,6 +235,7 @@ def bridges(df: DataFrame, least: float = LEAST) -> DataFrame:
     return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long").distinct()
 
 
+@tidy
 def cluster(df: DataFrame, least: float = LEAST, smallest: int = SMALLEST, key: str = "id", model: str = "model_name", vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
     """Members (id, cluster_id) and clusters (cluster_id, model, size, typical).
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carteggio.session import cut
+from carteggio.session import cut, tidy
 
 #: Slots of each row of the pair sketch, rows of it, code points. An unseen pair seems to have been seen if it meets an
 #: occupied slot in every row: with 300,000 different pairs about one in 400, with a million one in 20.
@@ -339,7 +339,7 @@ def as_utf8(text: str, reading: str) -> tuple[str, int]:
     parts, used = SPANS.split(text), 0
     for i in range(1, len(parts), 2):
         if len(parts[i]) > 1:
-            parts[i], n = span_as_utf8(parts[i], reading)
+            parts[i], n = (span_as_utf8 if len(parts[i]) < 100 else span_as_utf8.__wrapped__)(parts[i], reading)
             used += n
     return "".join(parts), used
 
@@ -433,6 +433,7 @@ def restore_all(texts: list[str], corpus: Corpus) -> Iterator[tuple[str, str, st
             yield (plain, "restored", path) if path else (text, "sound", "")
 
 
+@tidy
 def repair(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, restored, status, mappings) of every row whose text is garbled, copies included.
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from carteggio.llm.pii import fold, senders
 from carteggio.operators.graph import connected_components
-from carteggio.session import cut
+from carteggio.session import cut, tidy
 
 #: Least suffix, names in a part of a block, least ratio, words broadcast at most.
 SUFFIX, PART, RATIO, MOST = 4, 4096, 0.8, 1_000_000
@@ -186,6 +186,7 @@ def named(emails: DataFrame) -> DataFrame:
     return emails.select("id", name.alias("name")).where(r"name rlike '\\p{L}{2}'")
 
 
+@tidy
 def link(entities: DataFrame, emails: DataFrame) -> DataFrame:
     """(record_type, record_id, entity_id) for every linked row.
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from carteggio.session import cut
+from carteggio.session import cut, tidy
 
 SALT_ROWS = 200_000
 
@@ -69,6 +69,7 @@ def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, i
     return out
 
 
+@tidy
 def pack(sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_tokens") -> DataFrame:
     """(key, piece, tokens, container_id, start) for every item of ``sizes``.
 
@@ -77,10 +78,11 @@ def pack(sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_to
     equal keys are separate items.
     """
     spark = sizes.sparkSession
-    items = sizes.where(F.col(size) > 0).select(F.col(key).alias("key"), F.col(size).cast("long").alias("n"))
+    # the sizes may be dear to work out, so they are written once
+    items, _ = cut(sizes.select(F.col(key).alias("key"), F.col(size).cast("long").alias("n")))
+    items = items.where("n > 0")
     full = F.floor(F.col("n") / capacity)
     items = items.select("key", F.posexplode(F.concat(F.array_repeat(F.lit(capacity).cast("long"), full.cast("int")), F.when(F.col("n") % capacity > 0, F.array(F.col("n") % capacity)).otherwise(F.array().cast("array<bigint>")))).alias("piece", "tokens"))
-    items, _ = cut(items)
     histogram = {r["tokens"]: r["c"] for r in items.groupBy("tokens").agg(F.count("*").alias("c")).collect()}  # at most ``capacity`` rows
     start: dict[int, int] = dict.fromkeys(histogram, 0)
     slots, containers = [], 0

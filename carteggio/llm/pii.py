@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carteggio.session import cut
+from carteggio.session import cut, tidy
 
 #: Words and patterns that may be broadcast at most, rounds of scoring, least score and occurrences of a pattern.
 MOST, ROUNDS, CONFIDENT, OFTEN = 1_000_000, 3, 0.7, 5
@@ -271,6 +271,7 @@ def score(graph: DataFrame, seeds: DataFrame, least: int = 2) -> tuple[DataFrame
     return patterns, instances
 
 
+@tidy
 def learn(emails: DataFrame) -> Lexicon:
     """Seeds, graph and scores of a corpus, as the lexicon of the last pass."""
     spark = emails.sparkSession
@@ -439,6 +440,7 @@ def names(text: str, low: str, lex: Lexicon, busy: bytearray, take) -> None:
         take(a, z, "name")
 
 
+@tidy
 def find(emails: DataFrame) -> DataFrame:
     """(id, field, kind, start_pos, end_pos) of every occurrence in ``subject`` and ``body_plain``.
 
@@ -461,6 +463,7 @@ def find(emails: DataFrame) -> DataFrame:
     return emails.select("id", *FIELDS).mapInArrow(run, f"id {kind}, field string, kind string, start_pos long, end_pos long")
 
 
+@tidy
 def redact(emails: DataFrame) -> DataFrame:
     """(id, subject, body_plain) with typed placeholders such as ``[EMAIL]`` and all else unchanged."""
     lex = learn(emails)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carteggio.llm.threads import clean_id, header, ids_in
-from carteggio.session import cut
+from carteggio.session import cut, tidy
 
 #: Signs in a row that an inherited run needs, share of a line's signs in such runs.
 SPAN, SHARE = 80, 0.8
@@ -246,6 +246,7 @@ def inherited(fresh: np.ndarray, line: np.ndarray, old: np.ndarray) -> np.ndarra
     return numbers[(covered > 0) & (covered >= SHARE * every)]
 
 
+@tidy
 def lines(emails: DataFrame) -> DataFrame:
     """(id, line_no, kind) of every line that is neither blank nor newly written.
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from carteggio.operators.graph import connected_components, jump
 from carteggio.operators.timestamps import normalise
-from carteggio.session import cut
+from carteggio.session import cut, tidy
 
 DAY_US = 86_400_000_000
 
@@ -65,6 +65,7 @@ def messages(emails: DataFrame, sources: DataFrame, accounts: DataFrame) -> Data
     return one.agg(F.min_by(body, "id").alias("m")).select("m.*")
 
 
+@tidy
 def conversations(emails: DataFrame, sources: DataFrame, accounts: DataFrame) -> DataFrame:
     """(id, parent, root, conversation_id, orphan, backward, turn, speaker, kept) for every message.
 
