@@ -54,22 +54,22 @@ def conv_direction(spark, root):
 
 @query(f"with {_LINKS} select id, subject_key, previous, linked from l")
 def conv_subject_links(spark, root):
-    return C.subject_links(_messages(spark, root)).drop("at")
+    return C.subject_links(_messages(spark, root), general=C.GENERAL + C.GENERAL_ENGLISH).drop("at")
 
 
 @query(f"with {_LINKS} select id, conversation_id from i")
 def conv_islands(spark, root):
-    return C.islands(C.subject_links(_messages(spark, root)))
+    return C.islands(C.subject_links(_messages(spark, root), general=C.GENERAL + C.GENERAL_ENGLISH))
 
 
 @query(f"with {_LINKS} select id as node, conversation_id as component from i where id <> conversation_id")
 def conv_components(spark, root):
-    links = C.subject_links(_messages(spark, root)).where("linked")
+    links = C.subject_links(_messages(spark, root), general=C.GENERAL + C.GENERAL_ENGLISH).where("linked")
     return graph.connected_components(links.select(F.col("id").alias("src"), F.col("previous").alias("dst")))
 
 
 def _folded(spark, root):
-    m = _messages(spark, root).join(C.islands(C.subject_links(_messages(spark, root))), "id")
+    m = _messages(spark, root).join(C.islands(C.subject_links(_messages(spark, root), general=C.GENERAL + C.GENERAL_ENGLISH)), "id")
     return m.withColumn("outgoing", F.lower(F.coalesce("sender", F.lit(""))).contains("@valdoria-studio.example"))
 
 
@@ -83,27 +83,27 @@ def conv_fold(spark, root):
 
 @query(f"with {_LINKS} select conversation_id, count(*) as n, min(id) as first_id, max(id) as last_id from i group by 1 order by n desc, conversation_id limit 10")
 def conv_longest(spark, root):
-    i = C.islands(C.subject_links(_messages(spark, root)))
+    i = C.islands(C.subject_links(_messages(spark, root), general=C.GENERAL + C.GENERAL_ENGLISH))
     return i.groupBy("conversation_id").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id")).orderBy(F.col("n").desc(), "conversation_id").limit(10)
 
 
 @query(f"with {_LINKS} select i.id, conversation_id, row_number() over (partition by conversation_id order by imported_at, i.id) - 1 as position from i join emails e on e.id = i.id")
 def conv_positions(spark, root):
-    m = C.islands(C.subject_links(_messages(spark, root))).join(table(spark, root, "emails").select("id", "imported_at"), "id")
+    m = C.islands(C.subject_links(_messages(spark, root), general=C.GENERAL + C.GENERAL_ENGLISH)).join(table(spark, root, "emails").select("id", "imported_at"), "id")
     return terms.positions(m, "conversation_id", [F.col("imported_at"), F.col("id")]).select("id", "conversation_id", F.col("position").cast("long"))
 
 
 @query(f"""with {_LINKS}, t as (select conversation_id, e.id, regexp_replace(body_plain, '^\\s+|\\s+$', '', 'g') as b from i join emails e on e.id = i.id where body_plain is not null),
  o as (select conversation_id, b, min(id) as id from t where b <> '' group by 1, 2) select conversation_id, count(*) as parts, sha256(string_agg(b, chr(10) || chr(10) order by id)) as text_hash from o group by 1""")
 def conv_unique_text(spark, root):
-    m = C.islands(C.subject_links(_messages(spark, root))).join(table(spark, root, "emails").select("id", "body_plain"), "id")
+    m = C.islands(C.subject_links(_messages(spark, root), general=C.GENERAL + C.GENERAL_ENGLISH)).join(table(spark, root, "emails").select("id", "body_plain"), "id")
     return C.unique_text(m, "conversation_id", "id", "body_plain").select("conversation_id", "parts", F.sha2("text", 256).alias("text_hash"))
 
 
 @query(f"""with {_LINKS}, k as (select conversation_id, string_agg(distinct message_hash, '|' order by message_hash) as h, string_agg(distinct cast(e.id as varchar), '|' order by cast(e.id as varchar)) as s from i join emails e on e.id = i.id group by 1)
  select conversation_id, sha256(h || '#' || s) as key from k""")
 def conv_stable_key(spark, root):
-    m = C.islands(C.subject_links(_messages(spark, root))).join(table(spark, root, "emails").select("id", "message_hash"), "id")
+    m = C.islands(C.subject_links(_messages(spark, root), general=C.GENERAL + C.GENERAL_ENGLISH)).join(table(spark, root, "emails").select("id", "message_hash"), "id")
     return C.stable_key(m.withColumn("sid", F.col("id").cast("string")), "conversation_id", "message_hash", "sid")
 
 
