@@ -166,11 +166,6 @@ def text_domains(spark, root):
     return table(spark, root, "emails").select("id", F.explode(T.domains(F.col("sender"))).alias("domain")).groupBy("domain").agg(F.count("*").alias("n"), F.countDistinct("id").alias("messages"))
 
 
-@query("select id, array_to_string(list_filter(" + _WORDS.format(c="subject", n=4) + "[1:6], lambda x: x not in ('pratica', 'della', 'dello'))[1:3], ' ') as signals from emails where subject is not null")
-def text_subject_signals(spark, root):
-    signals = F.slice(F.filter(F.slice(T.words(F.col("subject"), 4), 1, 6), lambda x: ~x.isin("pratica", "della", "dello")), 1, 3)
-    return table(spark, root, "emails").where("subject is not null").select("id", F.array_join(signals, " ").alias("signals"))
-
 
 @query(r"""with x as (select id, list_filter(list_transform(string_split(regexp_replace(body_plain, '\r\n?', chr(10), 'g'), chr(10)), lambda s: trim(s)), lambda s: s <> '') as l from emails where body_plain is not null),
  y as (select id, l, list_position(list_transform(l, lambda s: starts_with(s, '>') or regexp_matches(s, '^-{3,}.*[0-9A-Za-z_].*-{3,}$') or regexp_matches(s, '(?:ha scritto|wrote|schrieb|a écrit|escribió).*:$')), true) as q,
@@ -211,11 +206,6 @@ def crc_buckets(spark, root):
     return table(spark, root, "documents").where("source is not null").select("doc_id", (-2_000_000 - F.crc32(F.encode("source", "utf-8")) % 1_000_000).alias("bucket"))
 
 
-@query("select entity, count(*) as n from (select upper(substring(label, 1, 1)) || substring(label, 2) as entity from (select replace(split_part(regexp_extract(lower(sender), '@([a-z0-9.-]+)', 1), '.', 1), '-', ' ') as label from emails where contains(sender, '@')) where label not like '% %') group by 1")
-def domain_entities(spark, root):
-    label = F.replace(F.split_part(F.regexp_extract(F.lower("sender"), r"@([a-z0-9.-]+)", 1), F.lit("."), F.lit(1)), F.lit("-"), F.lit(" "))
-    return table(spark, root, "emails").where(F.col("sender").contains("@")).select(label.alias("l")).where("l not like '% %'").groupBy(F.initcap("l").alias("entity")).agg(F.count("*").alias("n"))
-
 
 # --- terms
 
@@ -260,19 +250,6 @@ def bm25_search(spark, root):
     return terms.bm25(_counts(spark, root)[1], "doc_id", ["impianto", "fanghi"]).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query()
-def source_keywords(spark, root):
-    docs = table(spark, root, "documents").where("text is not null and source is not null")
-    return terms.keywords(docs, "doc_id", "source", T.words(F.col("text"), 3), [w for t in T.TELLING.values() for w in t], 10, longest=3).select("source", "term", F.round("score", 6).alias("score"), "rank")
-
-
-@query("select e.id as entity, count(distinct d.id) as documents from atlas_entities e join (select id, unnest(list_distinct(regexp_extract_all(lower(content), '([a-zà-öø-ÿ]{3,})', 1))) as w from atlas_semantic_documents where content is not null) d on d.w = lower(e.display_name) where e.entity_type in ('technical_term', 'public_body') group by 1")
-def dictionary_mentions(spark, root):
-    # one-word entries meet texts in an equi-join on words instead of a match of every entry against every text
-    words = table(spark, root, "atlas_semantic_documents").where("content is not null").select("id", F.explode(F.array_distinct(T.words(F.col("content"), 3))).alias("w"))
-    entries = table(spark, root, "atlas_entities").where("entity_type in ('technical_term', 'public_body')").select(F.col("id").alias("entity"), F.lower("display_name").alias("w"))
-    return words.join(entries, "w").groupBy("entity").agg(F.countDistinct("id").alias("documents"))
-
 
 @query("""with m as (select 'm:' || id as a, 'd:' || unnest(list_distinct(regexp_extract_all(lower(sender), '@([a-z0-9.-]+[a-z0-9])', 1))) as b from emails), s as (select 'm:' || id as a, 's:' || source_file_id as b from emails where source_file_id is not null),
  e as (select * from m union all select * from s) select b as node, count(distinct a) as size from e group by 1""")
@@ -418,14 +395,3 @@ def wide_export(spark, root):
     summary = F.substring(F.coalesce("body_current_message_clean", "body_plain", F.lit("")), 1, 500)
     domain = F.get(F.array_sort(F.array_distinct(T.domains(F.coalesce("sender", F.lit(""))))), F.lit(0))
     return e.select("id", "path", F.coalesce("language", F.lit("none")).alias("language"), summary.alias("summary"), domain.alias("main_domain"))
-
-
-@query()
-def topic_discovery(spark, root):
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer
-
-    docs = table(spark, root, "documents").where("text is not null").select("doc_id", T.words(F.col("text"), 3).alias("w"))
-    tf = HashingTF(inputCol="w", outputCol="tf", numFeatures=1 << 12).transform(docs)
-    unit = Normalizer(inputCol="idf", outputCol="features").transform(IDF(inputCol="tf", outputCol="idf").fit(tf).transform(tf)).select("doc_id", "features")
-    return KMeans(k=20, seed=42, maxIter=10).fit(unit).transform(unit).select("doc_id", F.col("prediction").alias("topic"))

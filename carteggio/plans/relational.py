@@ -60,15 +60,21 @@ def emails_cleaned_semi(spark, root):
     return table(spark, root, "emails").select("id", "message_hash").join(done, "id", "left_semi")
 
 
-@query("select c_custkey, c_mktsegment from customer where c_custkey not in (select o_custkey from orders)")
+@query("select c_custkey, c_mktsegment from customer where c_custkey not in (select o_custkey from orders where o_orderdate >= date '1998-01-01')")
 def customers_without_orders(spark, root):
-    return table(spark, root, "customer").select("c_custkey", "c_mktsegment").join(table(spark, root, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    # of the last months only: hardly any customer has no order at all
+    recent = table(spark, root, "orders").where("o_orderdate >= date '1998-01-01'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, root, "customer").select("c_custkey", "c_mktsegment").join(recent, "c_custkey", "left_anti")
 
 
-@query("select d.id, d.content_hash from atlas_semantic_documents d left join atlas_embedding_cache c on c.semantic_document_id = d.id and c.content_hash = d.content_hash and c.model_name = 'atlas-mini-96' where c.id is null")
+@query("""with l as (select * from (select *, row_number() over (partition by document_level, source_id order by id desc) as rk from atlas_semantic_documents) where rk = 1 and length(content) >= 120 and document_level = 'message')
+ select l.id, l.content_hash from l left join atlas_embedding_cache c on c.semantic_document_id = l.id and c.content_hash = l.content_hash and c.model_name = 'atlas-base-80' where c.id is null""")
 def documents_not_embedded(spark, root):
-    cache = table(spark, root, "atlas_embedding_cache").where("model_name = 'atlas-mini-96'").select(F.col("semantic_document_id").alias("id"), "content_hash")
-    return table(spark, root, "atlas_semantic_documents").select("id", "content_hash").join(cache, ["id", "content_hash"], "left_anti")
+    # the newest version of each message, long enough, that the model has not seen with this content
+    d = table(spark, root, "atlas_semantic_documents").select("document_level", "source_id", "id", "content_hash", F.length("content").alias("n"))
+    d = R.latest(d, ["document_level", "source_id"], ["id"]).where("n >= 120 and document_level = 'message'").select("id", "content_hash")
+    cache = table(spark, root, "atlas_embedding_cache").where("model_name = 'atlas-base-80'").select(F.col("semantic_document_id").alias("id"), "content_hash")
+    return d.join(cache, ["id", "content_hash"], "left_anti")
 
 
 @query("select project_id, count(*) as n, count(distinct source_file_id) as sources from emails where project_id = 1 group by 1")
