@@ -37,8 +37,9 @@ def linked(spark, root, done, options):
 def folded(spark, root, done, options):
     e = table(spark, root, "emails").select("id", "subject", "sender", "has_attachments", "recipients")
     m = e.join(done["linked"], "id").join(done["dated"], "id").withColumn("at", F.timestamp_micros("sent_us")).join(C.participants(e), "id")
-    own = options.get("own", "@valdoria-studio.example")
-    return C.fold(m.withColumn("outgoing", F.lower(F.coalesce("sender", F.lit(""))).contains(own)))
+    own = table(spark, root, "own_accounts").agg(F.collect_set(F.lower("address")).alias("own"))  # the archive's own mailboxes: one row
+    low = F.lower(F.coalesce("sender", F.lit("")))
+    return C.fold(m.crossJoin(F.broadcast(own)).withColumn("outgoing", F.exists("own", lambda a: low.contains(a))))
 
 
 def texts(spark, root, done, options):
@@ -56,23 +57,35 @@ STAGES: tuple[tuple[str, tuple[str, ...], Stage], ...] = (
 )
 
 
+def manifest(spark: SparkSession, root: str) -> list[tuple[str, int, int]]:
+    """Name, size and time of change of every file below ``root``, by the file system: no content is read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(found)
+
+
 def run(spark: SparkSession, root: str, workspace: str, options: dict | None = None, targets: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """The stages (all, or ``targets`` with what they read) as tables below ``workspace``.
 
-    A stage's folder carries a fingerprint of its options and of the stages it reads, so a changed option rebuilds that
-    stage and what follows, and a finished one is read back. A stage that was cut off has no success mark and is rebuilt.
+    A stage's folder carries a fingerprint of its options, of the input files and of the stages it reads, so a changed
+    option or new mail rebuilds that stage and what follows, and a finished one is read back. A stage that was cut off has no success mark and is rebuilt.
     """
     options = options or {}
     wanted = set(targets or [n for n, _, _ in STAGES])
     for name, reads, _ in reversed(STAGES):
         if name in wanted:
             wanted |= set(reads)
+    inputs = manifest(spark, root)
     done: dict[str, DataFrame] = {}
     marks: dict[str, str] = {}
     for name, reads, build in STAGES:
         if name not in wanted:
             continue
-        marks[name] = hashlib.sha256(json.dumps([name, root, options.get(name, {}), [marks[r] for r in reads]], sort_keys=True).encode()).hexdigest()[:16]
+        marks[name] = hashlib.sha256(json.dumps([name, inputs, options.get(name, {}), [marks[r] for r in reads]], sort_keys=True).encode()).hexdigest()[:16]
         path = f"{workspace.rstrip('/')}/{name}-{marks[name]}"
         target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
         if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):

@@ -25,10 +25,10 @@ def query(sql: str | None = None):
     return add
 
 
-def _stream(spark: SparkSession, root: str, name: str) -> DataFrame:
+def _stream(spark: SparkSession, root: str, name: str, files_per_batch: int = 1000) -> DataFrame:
     """A table of a data directory as a stream: one file, or a folder of part files."""
     schema = table(spark, root, name).schema
-    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch)
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}.parquet")
     if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
         return reader.parquet(f"{root}/{name}.parquet")
@@ -36,11 +36,17 @@ def _stream(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def _drain(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
-    """Everything a stream gives, written batch by batch to the shared folder (exactly once per batch) and read back."""
+    """Everything a stream gives, written batch by batch to the shared folder (exactly once per batch) and read back.
+
+    In mode ``complete`` every batch is the whole result, so the last one is read.
+    """
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     out = lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/out/batch={n}")
     df.writeStream.outputMode(mode).foreachBatch(out).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{base}/out").drop("batch")
+    done = spark.read.parquet(f"{base}/out")
+    if mode == "complete":
+        done = done.where(F.col("batch") == done.agg(F.max("batch")).first()[0])
+    return done.drop("batch")
 
 
 @query("""select time_bucket(interval '6 hours', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2""")
@@ -60,5 +66,5 @@ def stream_sessions(spark, root):
 
 @query("select thread_key, count(*) as messages, max(id) as last_id from emails where thread_key like 't-%' group by 1")
 def stream_open_threads(spark, root):
-    done = _drain(spark, incremental.open_threads(_stream(spark, root, "emails").select("thread_key", "id")), "update")
+    done = _drain(spark, incremental.open_threads(_stream(spark, root, "emails").select("thread_key", "id", "imported_at"), "imported_at", "36500 days"), "update")
     return done.groupBy("thread_key").agg(F.max("messages").alias("messages"), F.max("last_id").alias("last_id"))

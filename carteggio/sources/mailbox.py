@@ -1,7 +1,8 @@
 """Mailboxes as DataFrames: message files, mbox archives, incremental manifests.
 
-Files are found and fingerprinted by Spark's binary reader; only MIME parsing, which has no built-in expression, runs
-in Python. One message file or one mbox is one row of work; an mbox is cut at its ``From `` lines inside the task.
+Spark lists the files; their content is read in the tasks, piece by piece. Only MIME parsing, which has no built-in
+expression, and the framing of archives run in Python. A large mbox is divided into ranges of bytes, each of them a row
+of work that reads the messages beginning in its range, so neither a row nor a task holds a whole archive.
 Errors stay with their message as a column, so one bad message never stops a run.
 """
 
@@ -27,22 +28,94 @@ COLUMNS = {
 SCHEMA = ", ".join(f"{k} {v}" for k, v in COLUMNS.items())
 
 
+#: Bytes of a range of an archive, and of a piece read at once.
+RANGE, PIECE = 64 << 20, 1 << 20
+
+
+def _open(path: str):
+    """A file of any file system Arrow knows, local paths included, for reading at any place."""
+    from urllib.parse import unquote
+
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return open(unquote(path.removeprefix("file:")), "rb")
+    system, name = fs.FileSystem.from_uri(path)
+    return system.open_input_file(name)
+
+
 def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, length, file_type, file_hash, content) of the mailboxes below ``folder``; other files are ignored.
+    """(path, length, file_type, file_hash) of the mailboxes below ``folder``; other files are not read.
 
     ``.eml`` is a message, ``.mbox`` and ``.mbx`` an archive, and so is a file without extension that begins with ``From ``.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
     name = F.lower(F.element_at(F.split("path", "/"), -1))
-    kind = F.when(name.endswith(".eml"), "eml").when(name.rlike(r"\.(mbox|mbx)$"), "mbox").when(~name.contains(".") & (F.substring("content", 1, 5) == F.lit(b"From ")), "mbox")
-    return files.select("path", "length", kind.alias("file_type"), F.sha2("content", 256).alias("file_hash"), "content").where("file_type is not null")
-
+    kind = F.when(name.endswith(".eml"), "eml").when(name.rlike(r"\.(mbox|mbx)$"), "mbox").when(~name.contains("."), "?")
 
-def split_mbox(content: bytes) -> list[bytes]:
-    """The messages of an mbox: each from the line after a ``From `` line that follows an empty line or the start."""
-    marks = [m.start(1) for m in re.finditer(rb"(?:\A|\r?\n\r?\n)(From [^\r\n]*(?:\r?\n|\Z))", content)]
-    ends = [*marks[1:], len(content)]
-    return [re.sub(rb"(?m)^>(>*From )", rb"\1", content[a:z].split(b"\n", 1)[1] if b"\n" in content[a:z] else b"").rstrip(b"\r\n") for a, z in zip(marks, ends)]
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes, kinds = [], []
+            for path, kind in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                h = hashlib.sha256()
+                with _open(path) as f:
+                    piece = f.read(PIECE)
+                    kinds.append("mbox" if kind == "?" and piece[:5] == b"From " else None if kind == "?" else kind)
+                    while piece and kinds[-1]:
+                        h.update(piece)
+                        piece = f.read(PIECE)
+                hashes.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kinds, pa.string()), pa.array(hashes, pa.string())], ["path", "length", "file_type", "file_hash"])
+
+    wanted = files.withColumn("file_type", kind).where("file_type is not null")
+    return wanted.mapInArrow(look, "path string, length long, file_type string, file_hash string").where("file_type is not null")
+
+
+def ranges(files: DataFrame, size: int = RANGE) -> DataFrame:
+    """(path, file_type, start, end): an archive in ranges of ``size`` bytes, a message file as one range."""
+    n = F.when(F.col("file_type") == "mbox", F.greatest(F.ceil(F.col("length") / size), F.lit(1))).otherwise(1)
+    rows = files.select("path", "file_type", "length", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("i"))
+    end = F.when(F.col("file_type") == "mbox", F.least((F.col("i").cast("long") + 1) * size, F.col("length"))).otherwise(F.col("length"))
+    return rows.select("path", "file_type", (F.col("i").cast("long") * size).alias("start"), end.alias("end"))
+
+
+_MARK = re.compile(rb"(?:\A|(?<=\n\n)|(?<=\n\r\n))From [^\r\n]*(?:\r?\n|\Z)")
+
+
+def mbox_messages(f, start: int, end: int, piece: int = PIECE) -> Iterator[tuple[int, bytes]]:
+    """(place, raw) of the messages of an mbox whose ``From `` line begins in [start, end)."""
+    back = min(start, 3)
+    f.seek(start - back)
+    held, at, open_ = b"", start - back, None  # held begins at byte ``at`` of the file; open_ is where the message begun stands
+    more = True
+    while more:
+        got = f.read(piece)
+        more = bool(got)
+        held += got
+        scan_to = len(held) - (0 if not more else min(len(held), 4096))  # a From line may be cut off at the end of a piece
+        for m in _MARK.finditer(held):
+            if m.start() >= scan_to and more:
+                break
+            where = at + m.start()
+            if m.start() == 0 and at > 0 or where < start:
+                continue  # the start of what was read is no start of a line, or it belongs to the range before
+            if open_ is not None and where > open_:
+                yield open_, held[open_ - at : m.start()]
+                open_ = None
+            if where >= end:
+                return
+            open_ = where
+        if open_ is None and at + scan_to >= end and at + scan_to > start:
+            return
+        keep = max(0, (open_ - at) if open_ is not None else scan_to - 4)
+        held, at = held[keep:], at + keep
+    if open_ is not None:
+        yield open_, held
+
+
+def unframed(raw: bytes) -> bytes:
+    """A message of an mbox without its ``From `` line, with quoted ``From `` lines as they were."""
+    return re.sub(rb"(?m)^>(>*From )", rb"\1", raw.split(b"\n", 1)[1] if b"\n" in raw else b"").rstrip(b"\r\n")
 
 
 def decode(part) -> str:
@@ -107,7 +180,7 @@ def parse(raw: bytes) -> dict:
     body_plain = "\n\n".join(p for p in plain if p.strip()) or None
     body_html = "\n".join(h for h in html if h.strip()) or None
     body = body_plain or (visible(body_html) if body_html else None)
-    people = lambda h: [a.lower() for _, a in getaddresses([text(v) or "" for v in m.get_all(h, [])]) if a]
+    people = lambda h: [a for _, a in getaddresses([text(v) or "" for v in m.get_all(h, [])]) if a]
     date, iso = m.get("Date"), None
     try:
         iso = parsedate_to_datetime(date).isoformat() if date else None
@@ -121,18 +194,28 @@ def parse(raw: bytes) -> dict:
     }
 
 
-def messages(files: DataFrame) -> DataFrame:
-    """One row per message of :func:`scan`'s files (COLUMNS). A message that cannot be read has only its ``error``."""
+def messages(files: DataFrame, size: int = RANGE) -> DataFrame:
+    """One row per message of :func:`scan`'s files (COLUMNS); ``seq`` is the byte at which it begins in its file.
+
+    A message that cannot be read has only its ``error``.
+    """
     import pyspark.sql.pandas.types as types
     from pyspark.sql.types import StructType
 
     arrow = types.to_arrow_schema(StructType.fromDDL(SCHEMA))
 
+    def raws(path: str, kind: str, start: int, end: int) -> Iterator[tuple[int, bytes]]:
+        with _open(path) as f:
+            if kind == "mbox":
+                yield from ((at, unframed(raw)) for at, raw in mbox_messages(f, start, end))
+            else:
+                yield 0, f.read()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, kind, content in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for path, kind, start, end in zip(*(b.column(i).to_pylist() for i in range(4))):
                 rows = []
-                for seq, raw in enumerate(split_mbox(content) if kind == "mbox" else [content]):
+                for seq, raw in raws(path, kind, start, end):
                     try:
                         row = parse(raw)
                     except Exception as e:
@@ -144,7 +227,8 @@ def messages(files: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    return files.select("path", "file_type", "content").mapInArrow(run, SCHEMA)
+    spread = ranges(files, size).repartition(2 * files.sparkSession.sparkContext.defaultParallelism, "path", "start")
+    return spread.mapInArrow(run, SCHEMA)
 
 
 def pending(files: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -161,8 +245,39 @@ def unseen(found: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def inventory(found: DataFrame) -> DataFrame:
-    """One row: messages, errors, attachments, probable duplicates, first and last year."""
+    """One row: messages, errors, attachments, probable duplicates, first and last year, sent and received by path."""
     year = F.substring("sent_at_iso", 1, 4).cast("int")
-    per = found.where("error is null").groupBy("message_hash").agg(F.count("*").alias("n"), F.sum(F.size("attachments")).alias("files"), F.min(year).alias("lo"), F.max(year).alias("hi"))
-    ok = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("messages"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("probable_duplicates"), F.coalesce(F.sum("files"), F.lit(0)).alias("attachments"), F.min("lo").alias("first_year"), F.max("hi").alias("last_year"))
-    return ok.crossJoin(found.agg(F.count_if(F.col("error").isNotNull()).alias("errors")))  # one row each
+    per = found.groupBy(F.coalesce("message_hash", F.lit("")).alias("h")).agg(
+        F.count_if(F.col("error").isNull()).alias("n"), F.count_if(F.col("error").isNotNull()).alias("e"), F.sum(F.size("attachments")).alias("files"), F.min(year).alias("lo"), F.max(year).alias("hi"),
+        F.count_if(F.col("error").isNull() & F.lower("path").contains("sent")).alias("out"),
+    )
+    sum_ = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return per.agg(
+        sum_("n").alias("messages"), sum_(F.greatest(F.col("n") - 1, F.lit(0))).alias("probable_duplicates"), sum_(F.when(F.col("n") > 0, F.col("files"))).alias("attachments"), F.min("lo").alias("first_year"), F.max("hi").alias("last_year"),
+        sum_("e").alias("errors"), sum_("out").alias("sent"), sum_(F.col("n") - F.col("out")).alias("received"),
+    )
+
+
+def sampled(found: DataFrame, size: int) -> DataFrame:
+    """The first ``size`` messages over all files, by path and place: what an import of a sample reads."""
+    return found.orderBy("path", "seq").limit(size)
+
+
+def file_status(files: DataFrame, found: DataFrame) -> DataFrame:
+    """(path, file_hash, status, messages, errors) for the manifest: ``ok``, ``partial`` if some messages failed, ``error`` if all did."""
+    per = found.groupBy("path").agg(F.count("*").alias("messages"), F.count_if(F.col("error").isNotNull()).alias("errors"))
+    all_ = files.select("path", "file_hash").join(per, "path", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("messages", "errors")})
+    status = F.when(F.col("errors") == 0, "ok").when(F.col("errors") < F.col("messages"), "partial").otherwise("error")
+    return all_.select("path", "file_hash", status.alias("status"), "messages", "errors")
+
+
+def errors(found: DataFrame, module: str = "import") -> DataFrame:
+    """(module, kind, message, path, seq): the rows for a table of errors."""
+    at = F.instr("error", ": ")
+    return found.where("error is not null").select(F.lit(module).alias("module"), F.substr("error", F.lit(1), at - 1).alias("kind"), F.substr("error", at + 2).alias("message"), "path", "seq")
+
+
+def preview(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """One row (files, fresh): mailboxes found and those whose path no manifest row has."""
+    known = manifest.select("path").distinct().withColumn("known", F.lit(True))
+    return files.select("path").join(known, "path", "left").agg(F.count("*").alias("files"), F.count_if(F.col("known").isNull()).alias("fresh"))

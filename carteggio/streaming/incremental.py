@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -38,15 +37,12 @@ def sessions(stream: DataFrame, time: str, user: str, gap: str = "30 minutes", l
     return counted.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), user, "n")
 
 
-def open_threads(stream: DataFrame) -> DataFrame:
-    """(thread_key, messages, last_id, updates) after every batch, kept as state per thread. Rows without key are left out."""
+def open_threads(stream: DataFrame, time: str, idle: str = "365 days") -> DataFrame:
+    """(thread_key, messages, last_id) of the threads every batch touches, by a built-in aggregation in update mode.
 
-    def fold(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, last, updates = state.get if state.exists else (0, -1, 0)
-        for p in parts:
-            n, last = n + len(p), max(last, int(p["id"].max()))
-        state.update((n, last, updates + 1))
-        yield pd.DataFrame({"thread_key": [key[0]], "messages": [n], "last_id": [last], "updates": [updates + 1]})
-
-    keyed = stream.where("thread_key like 't-%'").select("thread_key", "id")
-    return keyed.groupBy("thread_key").applyInPandasWithState(fold, "thread_key string, messages long, last_id long, updates long", "messages long, last_id long, updates long", "update", "NoTimeout")
+    Messages are counted per period of event time of length ``idle``; the state of a period is dropped once the newest
+    time seen has passed its end. Rows without true key or time are left out.
+    """
+    keyed = stream.where(f"thread_key like 't-%' and {time} is not null").select("thread_key", "id", F.col(time).cast("timestamp").alias("_at"))
+    counted = keyed.withWatermark("_at", "0 seconds").groupBy("thread_key", F.window("_at", idle)).agg(F.count("*").alias("messages"), F.max("id").alias("last_id"))
+    return counted.select("thread_key", "messages", "last_id")

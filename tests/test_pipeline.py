@@ -13,6 +13,7 @@ DATA = "/root/testdata/sf0.001"
 def test_resume(spark, tmp_path):
     done = pipeline.run(spark, DATA, str(tmp_path))
     assert set(done) == {n for n, _, _ in pipeline.STAGES} and all(df.count() > 0 for df in done.values())
+    assert done["folded"].agg({"outgoing": "sum"}).first()[0] > 0
     first = set(os.listdir(tmp_path))
     pipeline.run(spark, DATA, str(tmp_path))
     assert set(os.listdir(tmp_path)) == first

@@ -47,12 +47,32 @@ def test_mailbox(spark, tmp_path):
     a = rows["a.eml", 0]
     assert a["body_plain"].strip() == "Città 1" and a["sender"] == "Chiàra <C@Client.example>" and a["recipients"] == ["studio@own.example", "b@x.example"]
     assert a["sent_at_iso"] == "2024-06-10T10:00:00+02:00" and a["attachments"][0]["filename"] == "a.csv" and a["error"] is None
-    assert rows["Inbox", 1]["body_text"] == "Ciao\ntu" and rows["Inbox", 1]["message_id"] is None
+    second = max(k for k in rows if k[0] == "Inbox")
+    assert rows[second]["body_text"] == "Ciao\ntu" and rows[second]["message_id"] is None and second[1] > 0
+    assert rows["Inbox", 0]["subject"] == "Richiesta"
     stats = mailbox.inventory(found).first()
-    assert (stats["messages"], stats["probable_duplicates"], stats["attachments"], stats["first_year"], stats["errors"]) == (4, 1, 3, 2024, 0)
-    assert mailbox.unseen(found, found.where("seq = 1").select("message_hash")).count() == 2
+    assert (stats["messages"], stats["probable_duplicates"], stats["attachments"], stats["first_year"], stats["errors"], stats["received"]) == (4, 1, 3, 2024, 0, 4)
+    assert mailbox.unseen(found, found.where("seq > 0").select("message_hash")).count() == 2
     manifest = files.where("path like '%a.eml'").select("path", "file_hash", F.lit("ok").alias("status"))
     assert mailbox.pending(files, manifest).count() == 2
+    assert mailbox.preview(files, manifest).first().asDict() == {"files": 3, "fresh": 2}
+    assert {r["status"] for r in mailbox.file_status(files, found).collect()} == {"ok"} and mailbox.sampled(found, 2).count() == 2
+    broken = found.limit(1).withColumn("error", F.lit("ValueError: no: date"))
+    assert mailbox.errors(broken).first().asDict() | {"path": "", "seq": 0} == {"module": "import", "kind": "ValueError", "message": "no: date", "path": "", "seq": 0}
+    assert mailbox.file_status(files, broken).where("status = 'error'").count() == 1
+
+
+def test_archives_are_read_by_ranges(tmp_path):
+    texts = [b"Subject: %d\n\n" % i + b"line\nFrom here on\n" * (i * 37 % 50) + b"end" for i in range(60)]
+    whole = b"\n\n".join(b"From x%d\n" % i + t for i, t in enumerate(texts)) + b"\n"
+    (tmp_path / "a.mbox").write_bytes(whole)
+    for size, piece in ((len(whole), 1 << 20), (997, 64), (61, 5000), (5000, 333)):
+        got = []
+        for start in range(0, len(whole), size):
+            with open(tmp_path / "a.mbox", "rb") as f:
+                got += mailbox.mbox_messages(f, start, min(start + size, len(whole)), piece)
+        assert [mailbox.unframed(raw) for _, raw in got] == texts
+        assert all(whole[at:].startswith(b"From x%d\n" % i) for i, (at, _) in enumerate(got))
 
 
 def test_sinks(spark, tmp_path):
@@ -82,3 +102,44 @@ def test_stream_once_and_resume(spark, tmp_path):
     add([("a", "2024-01-02 00:00:00"), ("c", "2024-01-02 00:00:00")])
     run()
     assert sorted(r["key"] for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
+def test_report_files(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a|b", ["x"]), (2, None, None)], "id long, name string, tags array<string>")
+    sinks.single_csv(df, str(tmp_path / "r.csv"))
+    assert (tmp_path / "r.csv").read_bytes().startswith(b"\xef\xbb\xbfid,name,tags\r\n1,a|b,")
+    sinks.markdown(df, str(tmp_path / "r.md"), "T")
+    sinks.html(df, str(tmp_path / "r.html"), "<T>")
+    sinks.report({"n": 3}, str(tmp_path / "s.json"), "S")
+    assert "a\\|b" in (tmp_path / "r.md").read_text() and "&lt;T&gt;" in (tmp_path / "r.html").read_text() and '"n": 3' in (tmp_path / "s.json").read_text()
+    wide = df.select("id", *[F.lit(i).alias(f"c{i}") for i in range(30)])
+    sinks.xlsx(wide, str(tmp_path / "r.xlsx"))
+    from carteggio.operators.contexts import read_attachment
+
+    text = read_attachment((tmp_path / "r.xlsx").read_bytes(), "r.xlsx", None, 1 << 20)
+    assert text["status"] == "extracted" and text["text"].startswith("Foglio: Data\nid | c0")
+    assert sinks.study_pack({"rows": df}, str(tmp_path / "pack"), {"other": "rows"}) == {"rows": 2}
+    assert spark.read.option("header", "true").csv(str(tmp_path / "pack/other.csv")).count() == 2
+
+
+def test_decisions_and_dictionary(spark, tmp_path):
+    import pytest
+
+    from carteggio.sources.tables import read_csv, read_dictionary
+
+    (tmp_path / "d.csv").write_bytes("\ufeffid,decision\n1,ok\n".encode())
+    assert read_csv(spark, str(tmp_path / "d.csv"), ("id", "decision")).first().asDict() == {"id": "1", "decision": "ok"}
+    with pytest.raises(ValueError, match="notes"):
+        read_csv(spark, str(tmp_path / "d.csv"), ("id", "notes"))
+    (tmp_path / "t.json").write_text('{"term": ["AIA", {"name": "Provincia", "aliases": ["Prov."]}], "none": null}')
+    assert [tuple(r) for r in read_dictionary(spark, str(tmp_path / "t.json")).collect()] == [("term", "AIA", "AIA"), ("term", "Provincia", "Provincia"), ("term", "Provincia", "Prov.")]
+
+
+def test_complete_mode_keeps_the_last_batch(spark, tmp_path):
+    from carteggio.plans import streams
+
+    for i, at in enumerate(("2024-01-01 00:00:00", "2024-01-01 00:10:00", "2024-01-01 07:00:00")):
+        spark.sql(f"select timestamp '{at}' as ts, 'k' as event_type, {i}D as value").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    stream = streams._stream(spark, str(tmp_path), "events", files_per_batch=1)
+    rows = streams._drain(spark, incremental.windows(stream, "ts", "event_type", "6 hours"), "complete").collect()
+    assert sorted(r["n"] for r in rows) == [1, 2]
