@@ -1,14 +1,13 @@
 """Similarity clusters of vectors by grid density (problem 6).
 
 Two vectors are similar if their cosine is at least ``least``; a cluster is a connected set of at least ``smallest``
-rows. Features are the main directions of a bounded sample. Several grids, each turned and shifted by its own random
-amounts, quantise them; a cell that holds more than ``dense`` rows is divided along further directions, and a cell
-still dense after the last one (many rows about one point) is worked in salted blocks that share pivots. Inside a
-cell an exact cosine search from the cell's visited rows to its unvisited ones links the similar rows, without
-listing pairs. Cells of different grids that share a row are adjacent; smallest labels then spread over all links to
-convergence. The grids only propose the first sets; every link is an exact cosine. What they missed is then found
-exactly: all sets meet in pairs of bounded blocks, sets whose centres are further apart than their radii and the angle
-of ``least`` cannot touch (triangle inequality), and the rows of all others are compared. The result equals brute force.
+rows. Features are the main directions of a bounded sample; a grid quantises them. SQL counts the rows of every cell,
+gathers cells of neighbouring slabs into blocks of bounded size (dense slabs are divided into several), takes the
+box of features of each block, and joins the blocks whose boxes are near enough to hold a similar pair: the distance
+of two vectors is at least that of their projections. Within a block rows are linked cell by cell, then across
+cells; joined blocks are compared set by set, where centres farther apart than the radii and the angle of ``least``
+allow are skipped. Every link is an exact cosine and no similar pair is out of reach, so the result equals brute force at
+every size. Smallest labels spread over the links to convergence; the typical rows of a cluster lie in its densest cell.
 """
 
 from __future__ import annotations
@@ -17,16 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carteggio.operators.graph import connected_components
 from carteggio.session import cut, tidy
 
 LEAST, SMALLEST = 0.8, 5
-#: Grids, cell width, directions used at each level of division, rows of a dense cell, pivots of a block, rows of the sample.
-GRIDS, WIDTH, LEVELS, DENSE, PIVOTS, SAMPLE = 6, 0.4, (4, 8, 12, 16, 24), 1000, 64, 4096
-#: Bytes of vectors in a block of whole sets, and blocks of a model at least.
+#: Directions of the grid and cell width, leading directions that place a cell in a slab, rows of the sample.
+DIRECTIONS, WIDTH, SLAB, SAMPLE = 8, 0.4, 3, 4096
+#: Bytes of vectors in a block, and blocks of a model at least (so that small tables use all cores).
 BLOCK, BLOCKS = 1 << 24, 4
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -48,26 +47,27 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def directions(vectors: np.ndarray, n: int = max(LEVELS)) -> np.ndarray:
+def directions(vectors: np.ndarray, n: int) -> np.ndarray:
     """Main directions of a sample as columns."""
     return np.linalg.svd(unit(vectors), full_matrices=False)[2][:n].T.copy()
 
 
-def cells(v: np.ndarray, axes: np.ndarray) -> np.ndarray:
-    """Cell keys, shape (rows, GRIDS, len(LEVELS)), of unit vectors; a longer prefix of directions is a finer cell."""
-    k, out = axes.shape[1], np.zeros((len(v), GRIDS, len(LEVELS)), dtype=np.int64)
-    features, rng = v @ axes, np.random.default_rng(7)
-    for g in range(GRIDS):
-        turn, shift = np.linalg.qr(rng.standard_normal((k, k)))[0], rng.random(k)
-        steps = np.floor(features @ turn / WIDTH + shift).astype(np.int64).view(np.uint64)
-        h = np.full(len(v), g + 1, dtype=np.uint64)
-        for i in range(k):
-            h = (h ^ steps[:, i]) * MIX
-            h ^= h >> np.uint64(29)
-            for level, m in enumerate(LEVELS):
-                if i == min(m, k) - 1:
-                    out[:, g, level] = h.view(np.int64)
-    return out
+def quantise(v: np.ndarray, axes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, slab, cell) of unit vectors: projections and the length of the rest; keys of the leading steps and of all.
+
+    The length of the rest is a feature like the others: no two vectors are nearer than their lengths differ.
+    """
+    f = v @ axes
+    rest = np.sqrt(np.maximum(0, 1 - np.einsum("ij,ij->i", f, f)))
+    steps = np.floor(f / WIDTH + 0.5).astype(np.int64)
+    slab = np.zeros(len(v), dtype=np.int64)
+    for i in range(min(SLAB, steps.shape[1])):
+        slab = slab * 16 + steps[:, i] + 8  # few steps in each direction: unit vectors lie between -1 and 1
+    h = np.zeros(len(v), dtype=np.uint64)
+    for i in range(steps.shape[1]):
+        h = (h ^ steps[:, i].view(np.uint64)) * MIX
+        h ^= h >> np.uint64(29)
+    return np.column_stack((f, rest)).astype(np.float32), slab, h.view(np.int64)
 
 
 def link(v: np.ndarray, least: float) -> np.ndarray:
@@ -102,67 +102,95 @@ def _batches(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Tabl
 
 
 @tidy
-def links(df: DataFrame, least: float = LEAST) -> DataFrame:
-    """(id, to, cell): in each cell of each grid, every row and the first row of its connected set there.
-
-    ``df`` has distinct vectors, as from :func:`usable`. Cells with a single row give no row.
-    """
-    spark = df.sparkSession
+def groups(column: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(begin, end) of runs of equal values."""
+    cuts = np.concatenate(([0], np.flatnonzero(column[1:] != column[:-1]) + 1, [len(column)]))
+    return zip(cuts[:-1].tolist(), cuts[1:].tolist())
+
+
+def vectors_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Flat values and offsets of the column ``vec``."""
+    vec = t.column("vec").combine_chunks()
+    return vec.flatten().to_numpy(), np.concatenate(([0], np.cumsum(np.diff(vec.offsets.to_numpy()))))
+
+
+def inner_sets(v: np.ndarray, cell: np.ndarray, ids: np.ndarray, least: float) -> np.ndarray:
+    """For each row of a block (sorted by cell) the smallest id of its connected set in the block."""
+    root = np.empty(len(v), dtype=np.int64)
+    for a, z in groups(cell):
+        root[a:z] = a + link(v[a:z], least) if z - a > 1 else a
+    parent = np.arange(len(v))
+
+    def top(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for a, b in touching(v, root, np.zeros(len(v), dtype=np.int64), least):
+        x, y = top(a), top(b)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    root = np.array([top(i) for i in root.tolist()])
+    first = np.full(len(v), np.iinfo(np.int64).max)
+    np.minimum.at(first, root, ids)
+    return first[root]
+
+
+def gridded(df: DataFrame) -> DataFrame:
+    """(id, model, vec, f, slab, cell) of (id, model, vec), on the main directions of about SAMPLE rows a model."""
     counts = {r["model"]: r["n"] for r in df.groupBy("model").agg(F.count("*").alias("n")).collect()}  # a row a model
     axes = {}
     for m, n in counts.items():
         some = df.where((F.col("model") == m) & (F.pmod(F.xxhash64("id"), F.lit(max(1, n // SAMPLE))) == 0)).select("vec").limit(2 * SAMPLE).toPandas()
-        axes[m] = directions(np.stack(some["vec"].to_numpy())) if len(some) else None
+        axes[m] = directions(np.stack(some["vec"].to_numpy()), DIRECTIONS) if len(some) else None
 
-    def quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names = np.array(b.column("model").to_pylist())
             for m in np.unique(names):
                 part = b.filter(pa.array(names == m))
-                at = axes.get(m) if axes.get(m) is not None else np.eye(len(part.column("vec")[0].as_py()))[:, : max(LEVELS)]
                 v = unit(part.column("vec").flatten().to_numpy().reshape(part.num_rows, -1))
-                flat = cells(v, at).reshape(part.num_rows, -1)
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, flat.shape[1], dtype=np.int32)), pa.array(flat.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("model"), part.column("vec"), keys], ["id", "model", "vec", "keys"])
-
-    rows, _ = cut(df.select("id", "model", "vec").mapInArrow(quantise, "id long, model string, vec array<float>, keys array<long>"))
-    width = len(LEVELS)
-    crowd = rows.select("model", F.posexplode("keys").alias("at", "key")).groupBy("model", "at", "key").agg(F.count("*").alias("n")).where(F.col("n") > DENSE)
-    crowd, _ = cut(crowd)
-    at = F.explode(F.sequence(F.lit(0), F.lit(GRIDS - 1))).alias("grid")
-    placed = rows.select("id", "model", "vec", "keys", at)
-    for level in range(width):
-        index = F.col("grid") * width + level
-        placed = placed.withColumns({"at": index, "key": F.get("keys", index)}).join(crowd.withColumnRenamed("n", f"n{level}"), ["model", "at", "key"], "left").drop("at", "key")
-    level = F.lit(width - 1)
-    for i in reversed(range(width)):
-        level = F.when(F.col(f"n{i}").isNull(), F.lit(i)).otherwise(level)
-    placed = placed.withColumn("level", level)
-    crowded = F.col(f"n{width - 1}").isNotNull() & (F.col("level") == width - 1)
-    blocks = F.when(crowded, F.ceil(F.col(f"n{width - 1}") / DENSE).cast("int")).otherwise(1)
-    pivot = crowded & (F.pmod(F.xxhash64("id", F.lit(1)), F.col(f"n{width - 1}")) < PIVOTS)
-    salts = F.when(pivot, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), blocks).cast("int")))
-    placed = placed.withColumn("salts", salts).select("id", "vec", F.get("keys", F.col("grid") * width + F.col("level")).alias("key"), "model", F.explode("salts").alias("salt"))
-    placed = placed.select("id", "vec", F.xxhash64("model", "key", "salt").alias("cell"))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _batches(batches, "cell"):
-            cell, ids, vec = t.column("cell").to_numpy(), t.column("id").to_numpy(), t.column("vec").combine_chunks()
-            sizes, flat = np.diff(vec.offsets.to_numpy()), vec.flatten().to_numpy()
-            begins = np.concatenate(([0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]))
-            offset = np.concatenate(([0], np.cumsum(sizes)))
-            out_id, out_to, out_cell = [], [], []
-            for a, z in zip(begins[:-1], begins[1:]):
-                if z - a > 1:
-                    label = link(unit(flat[offset[a] : offset[z]].reshape(z - a, -1)), least)
-                    mine = ids[a:z]
-                    first = np.full(z - a, np.iinfo(np.int64).max)
-                    np.minimum.at(first, label, mine)
-                    out_id.append(mine), out_to.append(first[label]), out_cell.append(cell[a:z])
-            if out_id:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_id, out_to, out_cell)], ["id", "to", "cell"])
-
-    return placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(search, "id long, to long, cell long")
+                f, slab, cell = quantise(v, axes[m] if axes.get(m) is not None else np.eye(v.shape[1])[:, :DIRECTIONS])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, f.size + 1, f.shape[1], dtype=np.int32)), pa.array(f.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("model"), part.column("vec"), lists, pa.array(slab), pa.array(cell)], ["id", "model", "vec", "f", "slab", "cell"])
+
+    return cut(df.select("id", "model", "vec").mapInArrow(run, "id long, model string, vec array<float>, f array<float>, slab long, cell long"))[0]
+
+
+def blocked(rows: DataFrame) -> DataFrame:
+    """``rows`` of :func:`gridded` plus ``block``: slabs in their order until a block is full; a slab above that is divided by cells.
+
+    Slabs are few (a fixed number of steps in SLAB directions a model), so their order is a small table.
+    """
+    slabs = rows.groupBy("model", "slab").agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim"))
+    whole = slabs.groupBy("model").agg(F.greatest(F.least(F.ceil(F.sum("n") / BLOCKS), F.ceil(BLOCK / 4 / F.max("dim"))), F.lit(1)).alias("most"))
+    order = Window.partitionBy("model").orderBy("slab")
+    places = slabs.join(whole, "model").withColumn("parts", F.ceil(F.col("n") / F.col("most")))
+    full = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    places = places.withColumn("run", F.when(F.col("parts") > 1, F.concat(F.lit("s"), F.col("slab").cast("string"))).otherwise(F.concat(F.lit("r"), F.floor(full / F.col("most")).cast("string"))))
+    places, _ = cut(places.select("model", "slab", "run", "parts"))
+    part = F.pmod(F.xxhash64("cell"), F.col("parts"))
+    # one cell may be denser than a block: its rows are then told apart by their ids
+    crowd = rows.join(places.where("parts > 1"), ["model", "slab"]).groupBy("model", "cell").agg(F.count("*").alias("n"), F.first("slab").alias("slab"))
+    crowd = crowd.join(whole, "model").where("n > most").select("model", "cell", F.ceil(F.col("n") / F.col("most")).alias("salts"))
+    out = rows.join(F.broadcast(places), ["model", "slab"]).join(crowd, ["model", "cell"], "left")  # slabs: a bounded table
+    salt = F.when(F.col("salts").isNotNull(), F.concat(F.col("cell").cast("string"), F.lit("#"), F.pmod(F.xxhash64("id"), F.col("salts")).cast("string"))).otherwise(part.cast("string"))
+    return out.select("id", "model", "vec", "f", "cell", F.xxhash64("model", "run", salt).alias("block"))
+
+
+def near_blocks(rows: DataFrame, least: float) -> DataFrame:
+    """(block, pair, side): every pair of different blocks of a model whose boxes of features may hold a similar pair."""
+    n = DIRECTIONS + 1
+    at = lambda f, i: f(F.get("f", F.lit(i)))
+    boxes = rows.groupBy("model", "block").agg(*[at(F.min, i).alias(f"lo{i}") for i in range(n)], *[at(F.max, i).alias(f"hi{i}") for i in range(n)])
+    boxes, _ = cut(boxes)
+    a, b = boxes.alias("a"), boxes.alias("b")
+    gap = sum((F.pow(F.greatest(F.coalesce(F.col(f"a.lo{i}") - F.col(f"b.hi{i}"), F.lit(0.0)), F.coalesce(F.col(f"b.lo{i}") - F.col(f"a.hi{i}"), F.lit(0.0)), F.lit(0.0)), 2) for i in range(n)), F.lit(0.0))
+    pairs = a.join(b, (F.col("a.model") == F.col("b.model")) & (F.col("a.block") < F.col("b.block"))).where(gap <= 2 * (1 - least) + 1e-4)
+    pairs = pairs.select(F.col("a.block").alias("x"), F.col("b.block").alias("y"), F.xxhash64("a.block", "b.block").alias("pair"))
+    pairs, _ = cut(pairs)
+    return pairs.select(F.col("x").alias("block"), "pair", F.lit(0).alias("side")).unionByName(pairs.select(F.col("y").alias("block"), "pair", F.lit(1).alias("side")))
 
 
 def touching(v: np.ndarray, label: np.ndarray, side: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -208,31 +236,34 @@ def touching(v: np.ndarray, label: np.ndarray, side: np.ndarray, least: float) -
     return sorted(out)
 
 
-def bridges(df: DataFrame, least: float = LEAST) -> DataFrame:
-    """(a, b): all pairs of different labels with a similar pair of rows, from (label, id, model, vec), exactly.
-
-    A label's rows stand in one block unless they fill more than a quarter of one; every pair of blocks of a model meets.
-    """
-    sizes = df.groupBy("model", "label").agg(F.count("*").alias("n"))
-    models = df.groupBy("model").agg(F.greatest(F.lit(BLOCKS), F.ceil(F.sum(4.0 * F.size("vec")) / BLOCK).cast("int")).alias("blocks"), F.ceil(BLOCK / 16 / F.max(F.size("vec"))).alias("most"))
-    salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / F.col("most")))
-    rows = df.join(sizes.join(F.broadcast(models), "model"), ["model", "label"]).withColumn("block", F.pmod(F.xxhash64("label", salt), F.col("blocks")))
-    rows = rows.select("label", "vec", "model", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pair = F.xxhash64("model", F.least("block", "other"), F.greatest("block", "other"))
-    rows = rows.select("label", "vec", pair.alias("cell"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _batches(batches, "cell"):
-            cell, label, side, vec = t.column("cell").to_numpy(), t.column("label").to_numpy(), t.column("side").to_numpy(), t.column("vec").combine_chunks()
-            sizes, flat = np.diff(vec.offsets.to_numpy()), vec.flatten().to_numpy()
-            begins = np.concatenate(([0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]))
-            offset = np.concatenate(([0], np.cumsum(sizes)))
-            for a, z in zip(begins[:-1], begins[1:]):
+@tidy
+def linked_sets(rows: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
+    """Rows of :func:`gridded` with ``label``, the smallest id of their set in their block, and the links (a, b) between labels."""
+    placed = blocked(rows).repartition("block").sortWithinPartitions("block", "cell")
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _batches(batches, "block"):
+            block, cell, ids = (t.column(c).to_numpy() for c in ("block", "cell", "id"))
+            flat, offset = vectors_of(t)
+            label = np.concatenate([inner_sets(unit(flat[offset[a] : offset[z]].reshape(z - a, -1)), cell[a:z], ids[a:z], least) for a, z in groups(block)])
+            yield from t.append_column("label", pa.array(label)).combine_chunks().to_batches()
+
+    kind = "id long, model string, vec array<float>, f array<float>, cell long, block long, label long"
+    sets, _ = cut(placed.mapInArrow(inside, kind))
+    pairs = near_blocks(sets, least)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _batches(batches, "pair"):
+            pair, label, side = (t.column(c).to_numpy() for c in ("pair", "label", "side"))
+            flat, offset = vectors_of(t)
+            for a, z in groups(pair):
                 met = touching(unit(flat[offset[a] : offset[z]].reshape(z - a, -1)), label[a:z], side[a:z], least)
                 if met:
                     yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in met]), pa.array([m[1] for m in met])], ["a", "b"])
 
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long").distinct()
+    met = sets.select("block", "label", "vec").join(pairs, "block").select("pair", "side", "label", "vec")
+    links, _ = cut(met.repartition("pair").sortWithinPartitions("pair").mapInArrow(across, "a long, b long").distinct())
+    return sets.select("id", "cell", "label"), links
 
 
 @tidy
@@ -246,22 +277,16 @@ def cluster(df: DataFrame, least: float = LEAST, smallest: int = SMALLEST, key:
     same = fit.groupBy("model", "h", "h2").agg(F.min("id").alias("rep"))
     copies, _ = cut(fit.select("id", "model", "h", "h2").join(same, ["model", "h", "h2"]).select("id", "model", "rep"))
     distinct = fit.join(copies.where("id = rep").select("id"), "id", "left_semi").select("id", "model", "vec")
-    found, _ = cut(links(distinct, least))
-    labels = connected_components(found.select(F.col("id").alias("src"), F.col("to").alias("dst")))
-    # sets that no grid brought together
-    sets = distinct.join(labels.withColumnRenamed("node", "id"), "id", "left").select(F.coalesce("component", "id").alias("label"), "id", "model", "vec")
-    joined = connected_components(bridges(sets, least), "a", "b")
-    labels = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    labels, _ = cut(labels.unionByName(joined))
-    members = copies.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("id", "model", "rep", F.coalesce("component", "rep").alias("cluster_id"))
+    sets, links = linked_sets(gridded(distinct), least)
+    joined = connected_components(links, "a", "b").withColumnRenamed("node", "label")
+    labels, _ = cut(sets.join(joined, "label", "left").select(F.col("id").alias("node"), "cell", F.coalesce("component", "label").alias("component")))
+    members = copies.join(labels.withColumnRenamed("node", "rep"), "rep").select("id", "model", "cell", F.col("component").alias("cluster_id"))
     sizes = members.groupBy("cluster_id").agg(F.count("*").alias("size"), F.first("model").alias("model")).where(F.col("size") >= smallest)
     members = members.join(sizes.select("cluster_id"), "cluster_id")
     members, _ = cut(members)
-    # rows that share a cell with no other count as cell 0, the last resort
-    inside = members.join(found.select(F.col("id").alias("rep"), "cell").distinct(), "rep", "left").withColumn("cell", F.coalesce("cell", F.lit(0)))
-    density = inside.groupBy("cluster_id", "cell").agg(F.when(F.col("cell") == 0, 0).otherwise(F.count("*")).alias("n"))
+    density = members.groupBy("cluster_id", "cell").agg(F.count("*").alias("n"))
     densest = density.groupBy("cluster_id").agg(F.max(F.struct("n", "cell"))["cell"].alias("cell"))
-    core = inside.join(densest, ["cluster_id", "cell"])
+    core = members.join(densest, ["cluster_id", "cell"])
     # five smallest ids of a core, at most five kept per group of ids before they meet
     few = core.groupBy("cluster_id", F.pmod(F.xxhash64("id"), F.lit(64)).alias("g")).agg(F.slice(F.array_sort(F.collect_set("id")), 1, 5).alias("ids"))
     typical = few.groupBy("cluster_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, 5).alias("typical"))

@@ -35,17 +35,13 @@ def test_recall_and_dirty_rows(spark, monkeypatch):
     bad = [(9001, "a", None), (9002, "a", [0.0] * 32), (9003, "a", [math.nan] + [1.0] * 31), (9004, "a", [1.0] * 16), (9005, None, [1.0] * 32), (9006, "a", [])]
     df = spark.createDataFrame([(*r, "x") for r in rows + bad], "id long, model_name string, embedding array<float>, cell string")
     want = set().union(*(brute([r for r in rows if r[1] == m]) for m in "ab"))
-    for dense in (1000, 30):  # 30: divided cells and salted blocks
-        monkeypatch.setattr(clusters, "DENSE", dense)
+    for block in (1 << 24, 1 << 12):  # the last with divided slabs, divided cells and many blocks
+        monkeypatch.setattr(clusters, "BLOCK", block)
         members, found = clusters.cluster(df)
-        got = {(r["id"], r["cluster_id"]) for r in members.collect()}
-        # same rows in clusters, same partition
-        assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
-        if dense == 1000:
-            assert got == want
-            shapes = {r["cluster_id"]: r for r in found.collect()}
-            assert {c: r["size"] for c, r in shapes.items()} == {c: sum(1 for _, d in want if d == c) for _, c in want}
-            assert all(t and all((i, c) in want for i in t) for c, t in ((c, r["typical"]) for c, r in shapes.items()))
+        assert {(r["id"], r["cluster_id"]) for r in members.collect()} == want
+        shapes = {r["cluster_id"]: r for r in found.collect()}
+        assert {c: r["size"] for c, r in shapes.items()} == {c: sum(1 for _, d in want if d == c) for _, c in want}
+        assert all(t and all((i, c) in want for i in t) for c, t in ((c, r["typical"]) for c, r in shapes.items()))
 
 
 def test_empty_and_single(spark):
@@ -67,9 +63,34 @@ def test_equals_brute_force_beside_hot_groups(spark, monkeypatch):
         rows += [(len(rows) + 1 + i, "a", (np.cos(i * 0.64) * a + np.sin(i * 0.64) * b).tolist()) for i in range(7)]
     df = spark.createDataFrame(rows, "id long, model_name string, embedding array<float>")
     exact = [(i, m, np.array(v, dtype=np.float32)) for i, m, v in rows]
-    for dense, block in ((1000, 1 << 24), (30, 1 << 24), (30, 1 << 13)):  # the last with divided sets and many blocks
-        monkeypatch.setattr(clusters, "DENSE", dense)
-        monkeypatch.setattr(clusters, "BLOCK", block, raising=False)
+    for block in (1 << 24, 1 << 13):  # the last with divided slabs, divided cells and many blocks
+        monkeypatch.setattr(clusters, "BLOCK", block)
         members, found = clusters.cluster(df)
         assert {(r["id"], r["cluster_id"]) for r in members.collect()} == brute(exact)
         assert all(r["typical"] for r in found.collect())
+
+
+def test_links_at_every_level_of_division(spark, monkeypatch):
+    """All links of cosine 0.80 to 0.85 and chains of five survive, however finely the rows are divided."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(60):
+        a, b = np.linalg.qr(rng.standard_normal((24, 2)))[0].T
+        step = math.acos(rng.uniform(0.8005, 0.85))
+        rows += [(len(rows) + 1 + i, "a", (np.cos(i * step) * a + np.sin(i * step) * b).tolist()) for i in range(5)]
+    rows += [(len(rows) + 1 + i, "a", x.tolist()) for i, x in enumerate(rng.standard_normal((400, 24)))]
+    exact = [(i, m, np.array(v, dtype=np.float32)) for i, m, v in rows]
+    df = spark.createDataFrame(rows, "id long, model_name string, embedding array<float>")
+    for block, width in ((1 << 24, 0.4), (1 << 12, 0.4), (1 << 14, 0.1)):
+        monkeypatch.setattr(clusters, "BLOCK", block)
+        monkeypatch.setattr(clusters, "WIDTH", max(width, 2 / 15))
+        got = {(r["id"], r["cluster_id"]) for r in clusters.cluster(df)[0].collect()}
+        assert got == brute(exact) and len(got) >= 300
+
+
+def test_far_blocks_never_meet(spark):
+    rows = [(i, "m", [1.0, 0.001 * i, 0.0]) for i in range(20)] + [(100 + i, "m", [0.0, 0.001 * i, 1.0]) for i in range(20)]
+    sets = clusters.blocked(clusters.gridded(spark.createDataFrame(rows, "id long, model string, vec array<float>")))
+    assert sets.select("block").distinct().count() >= 2
+    pairs = clusters.near_blocks(sets, 0.8).select("pair", "block").join(sets.select("block", (sets.id >= 100).alias("far")).distinct(), "block")
+    assert pairs.groupBy("pair").agg({"far": "max"}).join(pairs.groupBy("pair").agg({"far": "min"}), "pair").where("`max(far)` <> `min(far)`").count() == 0
