@@ -24,11 +24,14 @@ from pyspark.sql import functions as F
 from carteggio.llm.threads import clean_id, header, ids_in
 from carteggio.session import cut, tidy
 
-#: Signs in a row that an inherited run needs, share of a line's signs in such runs.
-SPAN, SHARE = 80, 0.8
+#: Signs in a row that an inherited run needs, and from which on it is inherited whatever others write; share of a line's
+#: signs in such runs. A shorter run that stands in replies to different messages is a common phrase and no quotation.
+SPAN, SURE, SHARE = 60, 80, 0.8
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-WORD = re.compile(r"[^\W_]+")
+TOKEN = re.compile(r"\n|[^\W_]+")
+#: Stands for a line end among the codes of words.
+LINE_END = -(1 << 31)
 
 PREFIX = re.compile(r"\s*(?:[A-Z]{1,3}>|[>|])")
 # Words that introduce quotations, by language.
@@ -205,7 +208,9 @@ def classify(body: str) -> list[str]:
 
 @lru_cache(maxsize=200_000)
 def code(word: str) -> int:
-    """27 bits of hash and 5 of length; 0 stands for no word."""
+    """27 bits of hash and 5 of length; 0 stands for no word, LINE_END for a line end."""
+    if word == "\n":
+        return LINE_END
     return (zlib.crc32(word.encode("utf-8", "replace")) >> 5 << 5 | min(len(word), 31)) - (1 << 31)
 
 
@@ -226,24 +231,57 @@ def shingles(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return begin, end, (sums[end] - sums[begin]) * back[begin]
 
 
-def inherited(fresh: np.ndarray, line: np.ndarray, old: np.ndarray) -> np.ndarray:
-    """Numbers of the lines of ``fresh`` whose words stand in runs that ``old`` has in the same order."""
+def inherited(fresh: np.ndarray, line: np.ndarray, old: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the lines of ``fresh`` whose words stand in runs that ``old`` has in the same order, and for each 0 if
+    its run has SURE signs, else a hash that names the run."""
     step = np.zeros(len(fresh) + 1, dtype=np.int64)
     begin, end, h = shingles(fresh)
     hit = np.isin(h, shingles(old)[2]) if len(h) else np.zeros(0, dtype=bool)
     if not hit.any():
-        return line[:0]
+        return line[:0], line[:0].astype(np.int64)
     np.add.at(step, begin[hit], 1)
     np.add.at(step, end[hit], -1)
+    name = np.full(len(fresh), np.iinfo(np.int64).max)
+    name[begin[hit]] = (h[hit] >> np.uint64(2)).astype(np.int64) + 1
     # forward shingles reach the first word of a run, backward ones its last
     begin, end, h = shingles(fresh[::-1])
     hit = np.isin(h, shingles(old[::-1])[2])
     np.add.at(step, len(fresh) - end[hit], 1)
     np.add.at(step, len(fresh) - begin[hit], -1)
     signs = np.where(fresh == 0, 0, fresh.astype(np.int64) & 31)
+    inside = np.cumsum(step)[:-1] > 0
+    run = np.cumsum(inside & ~np.concatenate(([False], inside[:-1])))
+    length = np.bincount(run, np.where(inside, signs, 0))
+    names = np.full(len(length), np.iinfo(np.int64).max)
+    np.minimum.at(names, run, np.where(inside, name, np.iinfo(np.int64).max))
     numbers, at = np.unique(line, return_inverse=True)
-    every, covered = np.bincount(at, signs), np.bincount(at, signs * (np.cumsum(step)[:-1] > 0))
-    return numbers[(covered > 0) & (covered >= SHARE * every)]
+    every, covered = np.bincount(at, signs), np.bincount(at, signs * inside)
+    best = np.zeros(len(numbers), dtype=np.int64)  # the longest run of each line
+    order = np.flatnonzero(inside)
+    order = order[np.argsort(length[run[order]], kind="stable")]
+    best[at[order]] = run[order]
+    good = (covered > 0) & (covered >= SHARE * every)
+    return numbers[good], np.where(length[best[good]] >= SURE, 0, names[best[good]])
+
+
+def ancestors(messages: DataFrame) -> DataFrame:
+    """(parent, own): what a message cites, and what is cited further up where each message cites only its parent.
+
+    ``messages`` is (own, cited). Messages with a list of references know their thread; the others, which cite one
+    message, take over its ancestors, and those of the ancestor farthest up, until nothing is added: the known chains
+    double in length each time. A message that would be its own ancestor is left out.
+    """
+    known = messages.where("size(cited) > 0").groupBy("own").agg(F.max_by("cited", F.struct(F.size("cited"), "cited")).alias("cited"))
+    known, _ = cut(known.select(F.col("own").alias("parent"), "cited"))
+    while True:
+        top = known.select(F.col("parent").alias("_top"), F.col("cited").alias("_more"))
+        grown = known.join(top, F.get("cited", F.lit(0)) == F.col("_top"), "left")  # references begin with the eldest
+        more = F.filter(F.coalesce("_more", F.array().cast("array<string>")), lambda x: (x != F.col("parent")) & ~F.array_contains("cited", x))
+        # another name than ``cited``, which the lambdas would take for the new column
+        grown, _ = cut(grown.select("parent", F.concat(more, "cited").alias("all"), (F.size(more) > 0).alias("grew")).withColumnRenamed("all", "cited"))
+        if not grown.where("grew").limit(1).count():
+            return grown.select("parent", F.explode("cited").alias("own"))
+        known = grown.drop("grew")
 
 
 @tidy
@@ -261,59 +299,72 @@ def lines(emails: DataFrame) -> DataFrame:
     rows = rows.select("id", own.alias("own"), cited.alias("cited"), "body_plain")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ints, none = pa.list_(pa.int32()), np.zeros(0, dtype=np.int32)
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                bodies = part.column(3).to_pylist()
-                kinds = [classify(t) for t in bodies]
                 words, known, fresh, at_line, blank = [], [], [], [], []
-                for ks, body in zip(kinds, bodies):
-                    whole, new, number, bare = [], [], [], []
-                    for k, (w, x) in enumerate(zip(ks, body.split("\n")), 1):
-                        codes = [code(v) for v in WORD.findall(x.lower())]
-                        whole += codes
-                        if w:
-                            codes = [0] if new and new[-1] else []  # words before and after a marked line do not follow each other
-                        elif not codes and x.strip():
-                            bare.append(k)
-                        new += codes
-                        number += [k] * len(codes)
-                    words.append(whole), fresh.append(new), at_line.append(number), blank.append(bare)
+                for own, cited, body in zip(*(part.column(i).to_pylist() for i in (1, 2, 3))):
+                    ks = classify(body)
                     known.append([{"line": k, "kind": w} for k, w in enumerate(ks, 1) if w])
-                ints = pa.list_(pa.int32())
+                    whole, new, number, bare = none, none, none, none
+                    if own or cited:  # a message that neither cites nor can be cited has nothing to align
+                        tokens = TOKEN.findall(body.lower())
+                        codes = np.fromiter(map(code, tokens), dtype=np.int64, count=len(tokens)).astype(np.int32)
+                        ends = codes == LINE_END
+                        line, whole = (np.cumsum(ends) + 1)[~ends], codes[~ends]
+                        if cited:
+                            marked = np.array([bool(w) for w in ks])
+                            hidden = marked[line - 1]
+                            # words before and after marked lines do not follow each other: one 0 stands for all of them
+                            keep = ~hidden | (hidden & ~np.concatenate(([False], hidden[:-1])))
+                            new, number = np.where(hidden, 0, whole)[keep], line[keep].astype(np.int32)
+                            empty = np.flatnonzero((np.bincount(line, minlength=len(ks) + 1)[1:] == 0) & ~marked)
+                            if len(empty):
+                                lines_ = body.split("\n")
+                                bare = np.array([k + 1 for k in empty.tolist() if lines_[k].strip()], dtype=np.int32)
+                    words.append(whole), fresh.append(new), at_line.append(number), blank.append(bare)
+                lists = lambda xs: pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in xs]))).astype(np.int32), pa.array(np.concatenate(xs).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), pa.array(words, ints),
-                     pa.array(known, pa.list_(pa.struct([("line", pa.int64()), ("kind", pa.string())]))),
-                     pa.array(fresh, ints), pa.array(at_line, ints), pa.array(blank, ints)],
-                    ["id", "own", "cited", "words", "known", "fresh", "at", "bare"],
+                    [part.column(0), part.column(1), part.column(2), lists(words), pa.array(known, pa.list_(pa.struct([("line", pa.int64()), ("kind", pa.string())]))), lists(fresh), lists(at_line), lists(blank)],
+                    schema=pa.schema([part.schema.field(0), part.schema.field(1), part.schema.field(2), ("words", ints), ("known", pa.list_(pa.struct([("line", pa.int64()), ("kind", pa.string())]))), ("fresh", ints), ("at", ints), ("bare", ints)]),
                 )
 
     kind = "id long, own string, cited array<string>, words array<int>, known array<struct<line:long,kind:string>>, fresh array<int>, at array<int>, bare array<int>"
     base, _ = cut(rows.mapInArrow(read, kind))
     marked = base.select("id", F.explode("known").alias("k")).select("id", F.col("k.line").alias("line_no"), "k.kind")
     # words of the cited messages; several copies of a message have the same ones, so the smallest id will do
-    cites = base.where("size(fresh) > 0").select("id", "fresh", "at", "bare", F.explode("cited").alias("own")).where(F.col("own").isNotNull())
+    above = ancestors(base.where("own is not null").select("own", "cited"))
+    of = base.where("size(fresh) > 0").select("id", "fresh", "at", "bare", "cited")
+    cites = of.select("id", "fresh", "at", "bare", F.explode("cited").alias("own")).where(F.col("own").isNotNull())
+    further = of.where("size(cited) = 1").select("id", "fresh", "at", "bare", F.col("cited")[0].alias("parent")).join(above, "parent").select("id", "fresh", "at", "bare", "own")
+    cites = cites.unionByName(further)
     first = base.where("own is not null and size(words) > 0").groupBy("own").agg(F.min("id").alias("id"))
     owners = base.where("size(words) > 0").select("id", "own", "words").join(first, ["id", "own"], "left_semi").dropDuplicates(["own"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, found = b.column(0).to_pylist(), [[], []]
+            ids, owns, found = b.column(0).to_pylist(), b.column(5).to_pylist(), [[], [], [], []]
             for i in range(b.num_rows):
                 fresh, line, bare, old = (b.column(c)[i].values.to_numpy() for c in range(1, 5))
-                got = inherited(fresh, line, old)
+                got, names = inherited(fresh, line, old)
                 if len(got):
                     # lines without words belong to the run on both sides of them
                     has = np.unique(line)
-                    for k in bare:
+                    named = dict(zip(got.tolist(), names.tolist()))
+                    for k in bare.tolist():
                         j = int(np.searchsorted(has, k))
-                        if 0 < j < len(has) and has[j - 1] in got and has[j] in got:
-                            got = np.append(got, k)
-                    found[0] += [ids[i]] * len(got)
-                    found[1] += got.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["id", "line_no"])
+                        if 0 < j < len(has) and has[j - 1] in named and has[j] in named:
+                            named[k] = named[int(has[j - 1])]
+                    for k, n in named.items():
+                        for column, v in zip(found, (ids[i], k, n, owns[i])):
+                            column.append(v)
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in found[:3]], pa.array(found[3], pa.string())], ["id", "line_no", "run", "own"])
 
-    within = cites.join(owners.select("own", "words"), "own").select("id", "fresh", "at", "bare", "words").mapInArrow(align, "id long, line_no long")
+    within = cites.join(owners.select("own", "words"), "own").select("id", "fresh", "at", "bare", "words", "own").mapInArrow(align, "id long, line_no long, run long, own string")
+    within, _ = cut(within)
+    phrases = within.where("run <> 0").groupBy("run").agg(F.min("own").alias("a"), F.max("own").alias("z")).where("a <> z").select("run")
+    within = within.join(phrases, "run", "left_anti")
     return marked.unionByName(within.select("id", "line_no", F.lit("quoted").alias("kind"))).dropDuplicates(["id", "line_no"])
 
 

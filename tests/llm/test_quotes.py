@@ -36,8 +36,34 @@ def test_short_runs_to_their_ends(spark):
     """Unmarked quotations of some 150 letters, rewrapped, are found whole, their short first and last lines included."""
     old = "Prima voce.\nIl verbale del sopralluogo resta in bozza e va completata la tabella delle portate.\nServe la firma sul formulario prima del conferimento dei fanghi di depurazione.\nUltima voce qui."
     quoted = "Prima voce.\nIl verbale del sopralluogo resta in bozza\ne va completata la tabella delle portate. Serve la firma sul\nformulario prima del conferimento\n...\ndei fanghi di depurazione.\nUltima voce qui."
-    shuffled = "Serve la firma sul formulario prima del conferimento dei fanghi di depurazione.\nIl verbale del sopralluogo resta in bozza e va completata la tabella delle portate."
+    shuffled = "Serve la firma prima del conferimento dei fanghi di depurazione.\nIl verbale del sopralluogo va completato e resta in bozza la tabella delle portate."
     rows = [(1, "<a@x>", None, old), (2, "<b@x>", '{"References": "<a@x>"}', "Ecco quanto scritto allora, per comodità.\n\n" + quoted + "\n\nOra manca soltanto la data della visita."),
             (3, "<c@x>", '{"References": "<a@x>"}', shuffled), (4, "<d@x>", None, quoted)]
     found = {(r["id"], r["line_no"]) for r in quotes.lines(spark.createDataFrame(rows, "id long, original_message_id string, raw_headers_json string, body_plain string")).collect()}
     assert found == {(2, k) for k in range(3, 10)}
+
+
+def test_sixty_letters_and_distant_ancestors(spark):
+    """An unmarked quotation of 60 letters is found, and so is one of a message three replies up a chain of parents."""
+    first = "Das Gutachten zur Halde liegt dem Amt seit gestern vor und wird bald geprüft werden."
+    chain = [(1, "<m1@x>", None, first)]
+    for i in range(2, 5):
+        chain.append((i, f"<m{i}@x>", f'{{"In-Reply-To": "<m{i - 1}@x>"}}', f"Antwort Nummer {i} ohne jedes Zitat darin."))
+    chain.append((5, "<m5@x>", '{"In-Reply-To": "<m4@x>"}', "Zur Erinnerung:\n" + first + "\nAlles klar soweit?"))
+    short = "Serve ancora la firma sul formulario prima del conferimento di ieri sera."
+    assert 60 <= sum(c.isalpha() for c in short) <= 64
+    chain += [(6, "<m6@x>", None, "Prima.\n" + short + "\nDopo."), (7, "<m7@x>", '{"References": "<m6@x>"}', "Nuovo testo.\n" + short + "\nAltro testo nuovo.")]
+    chain += [(8, "<m8@x>", '{"In-Reply-To": "<m9@x>"}', "uno"), (9, "<m9@x>", '{"In-Reply-To": "<m8@x>"}', "due")]  # a cycle
+    df = spark.createDataFrame(chain, "id long, original_message_id string, raw_headers_json string, body_plain string")
+    assert {(r["id"], r["line_no"]) for r in quotes.lines(df).collect()} == {(5, 2), (7, 2)}
+
+
+def test_common_phrases_are_no_quotations(spark):
+    """A sentence that replies to different messages repeat is a phrase of the trade; a longer run is a quotation all the same."""
+    phrase = "Porti i miei cordiali saluti al collega e gli dica che il registro è pronto."
+    rows = []
+    for i in range(3):
+        rows += [(2 * i + 1, f"<a{i}@x>", None, f"Lettera {i}.\n{phrase}"), (2 * i + 2, f"<b{i}@x>", f'{{"References": "<a{i}@x>"}}', f"Risposta {i} di oggi.\n{phrase}\nFine {i}.")]
+    df = spark.createDataFrame(rows, "id long, original_message_id string, raw_headers_json string, body_plain string")
+    assert quotes.lines(df).count() == 0
+    assert {(r["id"], r["line_no"]) for r in quotes.lines(df.where("id < 3")).collect()} == {(2, 2)}
