@@ -18,6 +18,10 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return found.where("kept").select("conversation_id", "id", "turn", "speaker")
 
 
+def p3_paths(spark: SparkSession, root: str) -> DataFrame:
+    return threads.paths(threads.conversations(table(spark, root, "emails"), table(spark, root, "source_files"), table(spark, root, "own_accounts")))
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return splitting.pieces(table(spark, root, "atlas_semantic_documents")).where("piece = 0").select("id", "cut")
 
@@ -65,7 +69,7 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return found.select("doc_id", F.when(F.col("status") == "lost", "lost").otherwise(F.md5("restored")).alias("restored_md5"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p4_pieces, p5_found, p5_redacted, p6_found, p6_clusters, p7_found, p7_texts, p8_ids, p9_containers, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_paths, p4_found, p4_pieces, p5_found, p5_redacted, p6_found, p6_clusters, p7_found, p7_texts, p8_ids, p9_containers, p10_found)}
 SQL: dict[str, str] = {
     "p4_found": r"""select id, case when list_max(list_transform(regexp_split_to_array(content, '[\x09-\x0d\x1c-\x1f\x{85}\pZ.!?;。]'), lambda x: length(x))) > 2000 then 'forced' else 'split' end as cut
         from atlas_semantic_documents where length(content) > 2000""",

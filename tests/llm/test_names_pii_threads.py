@@ -101,4 +101,41 @@ def test_conversations(spark):
     assert {(r["conversation_id"], r["id"], r["turn"], r["speaker"]) for r in got.values() if r["kept"]} == {
         (1, 1, 1, "incoming"), (1, 3, 2, "incoming"), (1, 2, 3, "outgoing"), (20, 20, 1, "incoming"), (20, 21, 2, "outgoing")}
     assert 9 not in got and got[12]["orphan"] and got[20]["backward"] and not got[21]["backward"]
+    assert [i for i, r in got.items() if r["cycle"]] == [20]
+    ways = {}
+    for r in threads.paths(threads.conversations(emails, sources, accounts)).collect():
+        ways.setdefault((r["conversation_id"], r["leaf"]), {})[r["step"]] = r["id"]
+    assert ways == {(1, 3): {1: 3}, (1, 2): {1: 1, 2: 2}, (20, 21): {1: 20, 2: 21}}
     assert threads.conversations(emails.limit(0), sources, accounts).count() == 0
+
+
+def test_long_chains_wrong_clocks_and_shared_ids(spark):
+    """A chain of 20 with two branches, a parent whose clock is wrong, a cycle of three, and one id that many messages carry."""
+    rows = []
+
+    def add(i, own, cites, at, sender="bo@c.example"):
+        rows.append({"id": i, "source_file_id": 1, "imported_at": datetime(2021, 1, 1), "body_plain": "testo", "original_message_id": f"<{own}@x>", "message_hash": f"h{i}", "sender": sender,
+                     "sent_at": f"2020-01-{at:02d}T10:00:00Z", "raw_headers_json": '{"In-Reply-To": "<%s@x>"}' % cites if cites else "{}"})
+
+    for i in range(1, 21):
+        add(i, f"c{i}", f"c{i - 1}" if i > 1 else None, i, "studio@own.example" if i % 2 else "bo@c.example")
+    add(30, "d", "c5", 25)  # a second branch
+    add(40, "late", None, 20, "studio@own.example")
+    add(41, "early", "late", 10)  # answers a message sent later: a wrong clock and no cycle
+    for i in range(3):
+        add(50 + i, f"r{i}", f"r{(i + 1) % 3}", 3 + i, "studio@own.example" if i else "bo@c.example")
+    for i in range(40):
+        add(100 + i, "same", None, 5, "studio@own.example")
+        add(200 + i, f"s{i}", "same", 6)
+    emails = mails(spark, rows)
+    sources = spark.createDataFrame([(1, "Europe/Rome")], "id long, zone_name string")
+    accounts = spark.createDataFrame([("studio@own.example", "x")], "address string, label string")
+    found = threads.conversations(emails, sources, accounts)
+    got = {r["id"]: r for r in found.collect()}
+    assert {r["conversation_id"] for i, r in got.items() if i >= 100} == {100} and {r["conversation_id"] for i, r in got.items() if i <= 30} == {1}
+    assert got[41]["backward"] and not got[41]["cycle"] and sum(got[50 + i]["cycle"] for i in range(3)) >= 1
+    assert not any(r["cycle"] for i, r in got.items() if not 50 <= i < 53)
+    ways = {}
+    for r in threads.paths(found).collect():
+        ways.setdefault(r["leaf"], []).append((r["step"], r["id"]))
+    assert [i for _, i in sorted(ways[20])] == list(range(1, 21)) and [i for _, i in sorted(ways[30])] == [1, 2, 3, 4, 5, 30]
