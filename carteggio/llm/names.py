@@ -17,15 +17,15 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carteggio.llm.pii import fold, senders
 from carteggio.operators.graph import connected_components
 from carteggio.session import cut, tidy
 
-#: Least suffix, names in a part of a block, least ratio, words broadcast at most.
-SUFFIX, PART, RATIO, MOST = 4, 4096, 0.8, 1_000_000
+#: Least suffix, names in a part of a block, least ratio.
+SUFFIX, PART, RATIO = 4, 4096, 0.8
 
 # Lines of business, legal forms, titles, words of offices, short forms of given names.
 BUSINESS = ("costruzioni", "trasporti", "recuperi", "industrie", "servizi", "impianti", "logistica", "ambiente", "engineering", "laboratori", "consulting", "ecologia", "chimica", "energia")
@@ -77,21 +77,23 @@ def alike(a: str, b: str) -> bool:
 
 
 class Words:
-    """Given names, words that stand in addresses, and the slips seen before."""
+    """What is known of the words of one name: given names with their number, words that stand in addresses, slips of given names."""
 
-    def __init__(self, given: dict[str, int], attested: frozenset):
-        self.given = {**dict.fromkeys([w for k in LONG for w in k.split()], 1), **given}
-        self.attested = attested
-        self.slips: dict[str, str] = {}
+    def __init__(self, given: dict[str, int], attested: frozenset, slips: dict[str, str] | None = None):
+        self.given, self.attested, self.slips = given, attested, slips or {}
 
     def as_given(self, w: str) -> str:
         """The given name ``w`` is, but for one slip; empty if none."""
-        if w in self.given:
-            return w
-        if w not in self.slips:
-            near = [] if len(w) < 5 or w in self.attested else [g for g in self.given if len(g) > 3 and alike(g, w)]
-            self.slips[w] = max(near, key=lambda g: (self.given[g], g), default="")
-        return self.slips[w]
+        return w if w in self.given else self.slips.get(w, "")
+
+
+SHORT_WORDS = sorted({w for k in LONG for w in k.split()})
+
+
+def tokens(name: str) -> set[str]:
+    """All words that :func:`parse` may ask about."""
+    bare = name.replace("'", "").replace("’", "")
+    return {fold(w) for text in (name, bare, LEGAL.sub(" ", name), LEGAL.sub(" ", bare)) for w in re.findall(r"[^\W\d_]+", text)}
 
 
 def parse(name: str | None, firm: bool | None, words: Words) -> tuple[str, str, str] | None:
@@ -138,17 +140,18 @@ def parse(name: str | None, firm: bool | None, words: Words) -> tuple[str, str,
     return ("p", given, " ".join(rest)) if rest else None
 
 
-def fit(a: tuple[str, str], b: tuple[str, str], kind: str, words: Words) -> bool:
-    """Whether (other, main) of two names of one kind may be the same."""
+def fit(a: tuple[str, str], b: tuple[str, str], kind: str, given: tuple[bool, bool], attested: tuple[bool, bool]) -> bool:
+    """Whether (other, main) of two names of one kind may be the same; ``given`` and ``attested`` tell which of the two
+    given names and of the two surnames (or proper words) are known as such."""
     (x, p), (y, q) = a, b
     if kind == "f":
         if x != y:
             return False
     elif x != y:
         gx, gy = LONG.get(x, {x}), LONG.get(y, {y})
-        if not (gx & gy) and not (x not in words.given or y not in words.given) or not (gx & gy) and not alike(x, y):
+        if not (gx & gy) and all(given) or not (gx & gy) and not alike(x, y):
             return False
-    return p == q or not (p in words.attested and q in words.attested) and alike(p, q)
+    return p == q or not all(attested) and alike(p, q)
 
 
 def slips(w: str) -> set[str]:
@@ -178,6 +181,42 @@ def traits(other: str, kind: str) -> tuple[frozenset, frozenset]:
     return frozenset(full | {"w" + x for x in initials}), frozenset(full | {"l" + x for x in initials})
 
 
+def slip_keys(c: Column) -> Column:
+    """:func:`slips` as an array column: two different words are alike if they share one and are long enough."""
+    n = F.length(c)
+    cut_ = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substr(c, F.lit(1), i - 1), F.substr(c, i + 1)))
+    return F.array_distinct(F.concat(F.array(c), F.when(n > 3, cut_).otherwise(F.array().cast("array<string>"))))
+
+
+def alike_column(a: Column, b: Column) -> Column:
+    """:func:`alike` of two different words that share a slip key."""
+    return (a != b) & (F.least(F.length(a), F.length(b)) >= 4) & ((F.length(a) != F.length(b)) | (F.length(a) >= 5))
+
+
+def known_words(emails: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(word, n) of given names and (word) of words that stand in addresses, learned from the header fields.
+
+    A learned given name that is a slip of one more than five times as frequent, or of one of the short forms listed, is
+    none of its own; the listed ones count once where none is learned. Tables: nothing is collected or cut.
+    """
+    spark = emails.sparkSession
+    found, _ = cut(senders(emails).where("role = 'surname' or n > 1"))
+    surnames = found.where("role = 'surname'").select("word").distinct()
+    domains = emails.select(F.explode(F.regexp_extract_all(F.lower("sender"), F.lit(r"@([a-z]{4,})[.\-]"), 1)).alias("word")).distinct()
+    attested, _ = cut(surnames.unionByName(domains).distinct())
+    given = found.where((F.col("role") == "given") & (F.col("n") > 2) & ~F.col("word").isin(*OFFICES, *BUSINESS)).join(surnames, "word", "left_anti").select("word", "n")
+    given, _ = cut(given)
+    listed = spark.createDataFrame([(w,) for w in SHORT_WORDS], "word string")
+    whole = spark.createDataFrame([(w,) for w in sorted(LONG)], "word string")
+    keyed = given.select("word", "n", F.explode(slip_keys(F.col("word"))).alias("key"))
+    near = lambda other: keyed.join(other.select(F.col("word").alias("w"), "m", F.explode(slip_keys(F.col("word"))).alias("key")), "key").where(alike_column(F.col("word"), F.col("w")) & (F.length("w") > 3))
+    lesser = near(given.withColumn("m", F.col("n"))).where("m > 5 * n").select("word")
+    slip = near(whole.withColumn("m", F.lit(0))).select("word").join(whole, "word", "left_anti")
+    kept = given.join(lesser.unionByName(slip).distinct(), "word", "left_anti").withColumn("n", F.col("n").cast("long"))
+    kept, _ = cut(kept.unionByName(listed.join(kept, "word", "left_anti").withColumn("n", F.lit(1).cast("long"))))
+    return kept, attested
+
+
 def named(emails: DataFrame) -> DataFrame:
     """(id, name) of the senders that have a name and not only an address."""
     s = F.trim("sender")
@@ -199,47 +238,56 @@ def link(entities: DataFrame, emails: DataFrame) -> DataFrame:
     rows = listed.select(F.lit("entity").alias("record_type"), F.col("id").alias("record_id"), F.trim("display_name").alias("name"), (F.col("entity_type") != "person").alias("firm"))
     mails = named(emails).select(F.lit("email").alias("record_type"), F.col("id").alias("record_id"), "name", F.lit(None).cast("boolean").alias("firm"))
     rows, _ = cut(rows.unionByName(mails))
-    learned = senders(emails).where((F.col("role") == "surname") | (F.col("n") > 1)).orderBy(F.col("n").desc(), "word", "role").limit(MOST).collect()
-    domains = emails.select(F.explode(F.regexp_extract_all(F.lower("sender"), F.lit(r"@([a-z]{4,})[.\-]"), 1)).alias("w")).groupBy("w").count().orderBy(F.col("count").desc(), "w").limit(MOST).collect()
-    surnames = {r["word"] for r in learned if r["role"] == "surname"}
-    given = {r["word"]: r["n"] for r in learned if r["role"] == "given" and r["word"] not in surnames and r["word"] not in OFFICES and r["word"] not in BUSINESS and r["n"] > 2}
-    attested = frozenset(surnames | {r["w"] for r in domains})
-    # learned given names that are slips of more frequent ones are no names of their own
-    order = sorted(given, key=lambda w: -given[w])
-    kept: dict[str, int] = {}
-    for w in order:
-        if not any(len(k) > 3 and given[k] > 5 * given[w] and alike(k, w) for k in kept) and not any(k != w and len(k) > 3 and alike(k, w) for k in LONG if w not in LONG):
-            kept[w] = given[w]
-    shared = spark.sparkContext.broadcast((kept, attested))
+    given, attested = known_words(emails)
+    # few bytes but much work a name, so the tasks are set by cores and not by size
+    spread, _ = cut(rows.select("name", "firm").distinct().repartition(2 * spark.sparkContext.defaultParallelism, "name"))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = [(n, w) for n in b.column(0).to_pylist() for w in tokens(n)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.string()) for i in range(2)], ["name", "word"])
+
+    asked, _ = cut(spread.select("name").distinct().mapInArrow(ask, "name string, word string"))
+    # what is known of every word, by joins on words and on what slips leave of them
+    words = asked.select("word").distinct().join(given, "word", "left").join(attested.withColumn("attested", F.lit(True)), "word", "left")
+    words, _ = cut(words.select("word", "n", F.coalesce("attested", F.lit(False)).alias("attested")))
+    loose = words.where("n is null and not attested and length(word) >= 5").select("word", F.explode(slip_keys(F.col("word"))).alias("key"))
+    nearest = loose.join(given.where("length(word) > 3").select(F.col("word").alias("g"), F.col("n").alias("m"), F.explode(slip_keys(F.col("word"))).alias("key")), "key").where(alike_column(F.col("word"), F.col("g")))
+    nearest = nearest.groupBy("word").agg(F.max(F.struct("m", "g"))["g"].alias("near"))
+    known = words.join(nearest, "word", "left").where("n is not null or attested or near is not null")
+    of = asked.join(known, "word").groupBy("name").agg(F.collect_list(F.struct("word", "n", "attested", "near")).alias("known"))  # the words of one name
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(*shared.value)
         for b in batches:
-            found = [parse(n, f, words) for n, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            found = []
+            for n, f, k in zip(*(b.column(i).to_pylist() for i in range(3))):
+                k = k or []
+                found.append(parse(n, f, Words({x["word"]: x["n"] for x in k if x["n"]}, frozenset(x["word"] for x in k if x["attested"]), {x["word"]: x["near"] for x in k if x["near"]})))
             columns = [pa.array([f and f[i] for f in found], pa.string()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["name", "firm", "kind", "other", "main"])
 
-    # few bytes but much work a name, so the tasks are set by cores and not by size
-    spread = rows.select("name", "firm").distinct().repartition(2 * spark.sparkContext.defaultParallelism, "name")
+    spread = spread.join(of, "name", "left").select("name", "firm", "known").repartition(2 * spark.sparkContext.defaultParallelism, "name")
     parsed = spread.mapInArrow(read, "name string, firm boolean, kind string, other string, main string").where("kind is not null")
     parsed, _ = cut(parsed.withColumn("node", F.concat_ws("|", "kind", "other", "main")))
-    nodes, _ = cut(parsed.select("node", "kind", "other", "main").distinct())
+    nodes = parsed.select("node", "kind", "other", "main").distinct()
+    flag = lambda df, c, n: df.select(F.col("word").alias(c), F.lit(True).alias(n))
+    nodes = nodes.join(flag(given, "other", "given"), "other", "left").join(flag(attested, "main", "attested"), "main", "left")
+    nodes, _ = cut(nodes.select("node", "kind", "other", "main", F.coalesce("given", F.lit(False)).alias("given"), F.coalesce("attested", F.lit(False)).alias("attested")))
     n = lambda c: F.length(c)
     tails = lambda c, least: F.transform(F.sequence(F.lit(1), F.greatest(n(c) - (least - 1), F.lit(1))), lambda i: F.substr(F.col(c), i))
     begin = F.concat_ws(":", F.when(F.col("kind") == "f", F.col("other")), F.substring("main", 1, 3))
-    keyed = nodes.select("node", "kind", "other", "main", F.explode(F.transform(tails("main", SUFFIX), lambda x: F.concat_ws("/", F.lit("m"), F.col("kind"), x))).alias("s"))
-    keyed = keyed.unionByName(nodes.select("node", "kind", "other", "main", F.concat_ws("/", F.lit("o"), F.col("kind"), begin).alias("s")))
+    keyed = nodes.select(*nodes.columns, F.explode(F.transform(tails("main", SUFFIX), lambda x: F.concat_ws("/", F.lit("m"), F.col("kind"), x))).alias("s"))
+    keyed = keyed.unionByName(nodes.select(*nodes.columns, F.concat_ws("/", F.lit("o"), F.col("kind"), begin).alias("s")))
     # a crowded block is divided into parts, every two of which meet: who meets whom does not depend on its size
-    keyed, _ = cut(keyed.select(F.xxhash64("s").alias("block"), "node", "kind", "other", "main").distinct())
+    keyed, _ = cut(keyed.select(F.xxhash64("s").alias("block"), *nodes.columns).distinct())
     crowded = keyed.groupBy("block").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1")
     placed = keyed.join(crowded, "block", "left").withColumn("part", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))))
     placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-    blocks = placed.select(F.xxhash64("block", F.least("part", "with"), F.greatest("part", "with")).alias("block"), "node", "kind", "other", "main")
+    blocks = placed.select(F.xxhash64("block", F.least("part", "with"), F.greatest("part", "with")).alias("block"), *nodes.columns)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from carteggio.llm.clusters import _batches
 
-        words = Words(*shared.value)
         for t in _batches(batches, "block"):
             c = t.to_pydict()
             out: list[tuple[str, str, bool]] = []
@@ -264,9 +312,9 @@ def link(entities: DataFrame, emails: DataFrame) -> DataFrame:
                         short = c["kind"][i] == "p" and (len(a) == 1 or len(b) == 1)
                         if short and len(a) != len(b):
                             letter, whole = (a, b) if len(a) == 1 else (b, a)
-                            if any(g[0] == letter for g in {whole, *LONG.get(whole, ())}) and (p == q or not (p in words.attested and q in words.attested)):
+                            if any(g[0] == letter for g in {whole, *LONG.get(whole, ())}) and (p == q or not (c["attested"][i] and c["attested"][j])):
                                 out.append((c["node"][i], c["node"][j], True))
-                        elif fit((a, p), (b, q), c["kind"][i], words):
+                        elif fit((a, p), (b, q), c["kind"][i], (c["given"][i], c["given"][j]), (c["attested"][i], c["attested"][j])):
                             out.append((c["node"][i], c["node"][j], False))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out]), pa.array([o[1] for o in out]), pa.array([o[2] for o in out])], ["src", "dst", "initial"])

@@ -47,6 +47,14 @@ def test_long_names():
     assert names.parse("gestione rifiuti della zona nord", False, words) is None
 
 
+def test_slip_keys_find_what_is_alike(spark):
+    words = ["corvandel", "corvnadel", "orvandel", "corvandell", "corvindol", "rossi", "rosi", "ros", "rissa", "ross", "rasso"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    a, b = (df.select(names.F.col("w").alias(c), names.F.explode(names.slip_keys(names.F.col("w"))).alias("key")) for c in ("a", "b"))
+    got = {(r["a"], r["b"]) for r in a.join(b, "key").where(names.alike_column(names.F.col("a"), names.F.col("b"))).collect()}
+    assert got == {(x, y) for x in words for y in words if x != y and names.alike(x, y)}
+
+
 def test_near_is_alike():
     words = ["corvandel", "corvnadel", "orvandel", "corvandell", "corvindol", "korvandel", "rossi", "rosi", "ros", "rissa", "rasso", "ross"]
     assert {frozenset(x) for x in names.near(words)} == {frozenset((a, b)) for a in words for b in words if names.alike(a, b)}
