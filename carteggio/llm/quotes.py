@@ -231,37 +231,65 @@ def shingles(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return begin, end, (sums[end] - sums[begin]) * back[begin]
 
 
-def inherited(fresh: np.ndarray, line: np.ndarray, old: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the lines of ``fresh`` whose words stand in runs that ``old`` has in the same order, and for each 0 if
-    its run has SURE signs, else a hash that names the run."""
-    step = np.zeros(len(fresh) + 1, dtype=np.int64)
-    begin, end, h = shingles(fresh)
-    hit = np.isin(h, shingles(old)[2]) if len(h) else np.zeros(0, dtype=bool)
+def with_lines(codes: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Codes of words with a mark before the first word of every line: its number in place of the hash, its length 0."""
+    at = np.flatnonzero(np.concatenate(([True], np.diff(line) != 0))) if len(line) else np.zeros(0, dtype=np.int64)
+    return np.insert(codes, at, (line[at].astype(np.int64) * 32 + LINE_END).astype(np.int32))
+
+
+def inherited(fresh: list[np.ndarray], old: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, line, run) of the lines of each ``fresh`` whose words stand in runs that its ``old`` has in the same order.
+
+    ``fresh`` are results of :func:`with_lines`, ``old`` codes of words. ``run`` is 0 if the run has SURE signs, else a hash
+    that names it. All pairs are aligned at once: a shingle stands for its hash and its pair.
+    """
+    a, o = (np.concatenate([np.append(x, np.int32(0)) for x in xs]).astype(np.int64) for xs in (fresh, old))
+    pair, pair_o = (np.repeat(np.arange(len(xs)), [len(x) + 1 for x in xs]) for xs in (fresh, old))
+    mark = ((a & 31) == 0) & (a != 0)
+    line = np.maximum.accumulate(np.where(mark, pair * (1 << 32) + ((a - LINE_END) >> 5), 0))  # a pair begins with a mark or is a lone 0
+    a, pair, line = a[~mark].astype(np.int32), pair[~mark], line[~mark]
+    o = o.astype(np.int32)
+    key = lambda p, h: h ^ (p.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    begin, end, h = shingles(a)
+    other, _, g = shingles(o)
+    hit = np.isin(key(pair[begin], h), key(pair_o[other], g)) if len(h) else np.zeros(0, dtype=bool)
+    none = np.zeros(0, dtype=np.int64)
     if not hit.any():
-        return line[:0], line[:0].astype(np.int64)
+        return none, none, none
+    step = np.zeros(len(a) + 1, dtype=np.int64)
     np.add.at(step, begin[hit], 1)
     np.add.at(step, end[hit], -1)
-    name = np.full(len(fresh), np.iinfo(np.int64).max)
+    name = np.full(len(a), np.iinfo(np.int64).max)
     name[begin[hit]] = (h[hit] >> np.uint64(2)).astype(np.int64) + 1
     # forward shingles reach the first word of a run, backward ones its last
-    begin, end, h = shingles(fresh[::-1])
-    hit = np.isin(h, shingles(old[::-1])[2])
-    np.add.at(step, len(fresh) - end[hit], 1)
-    np.add.at(step, len(fresh) - begin[hit], -1)
-    signs = np.where(fresh == 0, 0, fresh.astype(np.int64) & 31)
+    begin, end, h = shingles(a[::-1])
+    other, _, g = shingles(o[::-1])
+    hit = np.isin(key(pair[::-1][begin], h), key(pair_o[::-1][other], g))
+    np.add.at(step, len(a) - end[hit], 1)
+    np.add.at(step, len(a) - begin[hit], -1)
+    signs = np.where(a == 0, 0, a.astype(np.int64) & 31)
     inside = np.cumsum(step)[:-1] > 0
     run = np.cumsum(inside & ~np.concatenate(([False], inside[:-1])))
     length = np.bincount(run, np.where(inside, signs, 0))
     names = np.full(len(length), np.iinfo(np.int64).max)
     np.minimum.at(names, run, np.where(inside, name, np.iinfo(np.int64).max))
-    numbers, at = np.unique(line, return_inverse=True)
-    every, covered = np.bincount(at, signs), np.bincount(at, signs * inside)
+    word = a != 0
+    touched = np.unique(line[inside])
+    some = np.flatnonzero(word & np.isin(line, touched))
+    numbers, at = np.unique(line[some], return_inverse=True)
+    every, covered = np.bincount(at, signs[some]), np.bincount(at, signs[some] * inside[some])
     best = np.zeros(len(numbers), dtype=np.int64)  # the longest run of each line
-    order = np.flatnonzero(inside)
-    order = order[np.argsort(length[run[order]], kind="stable")]
-    best[at[order]] = run[order]
+    order = np.flatnonzero(inside[some])
+    order = order[np.argsort(length[run[some[order]]], kind="stable")]
+    best[at[order]] = run[some[order]]
     good = (covered > 0) & (covered >= SHARE * every)
-    return numbers[good], np.where(length[best[good]] >= SURE, 0, names[best[good]])
+    return numbers[good] >> 32, numbers[good] & ((1 << 32) - 1), np.where(length[best[good]] >= SURE, 0, names[best[good]])
+
+
+def words_lines(codes: np.ndarray) -> np.ndarray:
+    """Numbers of the lines of a result of :func:`with_lines`."""
+    x = codes.astype(np.int64)
+    return (x[((x & 31) == 0) & (x != 0)] - LINE_END) >> 5
 
 
 def ancestors(messages: DataFrame) -> DataFrame:
@@ -303,11 +331,11 @@ def lines(emails: DataFrame) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                words, known, fresh, at_line, blank = [], [], [], [], []
+                words, known, fresh, blank = [], [], [], []
                 for own, cited, body in zip(*(part.column(i).to_pylist() for i in (1, 2, 3))):
                     ks = classify(body)
                     known.append([{"line": k, "kind": w} for k, w in enumerate(ks, 1) if w])
-                    whole, new, number, bare = none, none, none, none
+                    whole, new, bare = none, none, none
                     if own or cited:  # a message that neither cites nor can be cited has nothing to align
                         tokens = TOKEN.findall(body.lower())
                         codes = np.fromiter(map(code, tokens), dtype=np.int64, count=len(tokens)).astype(np.int32)
@@ -318,50 +346,54 @@ def lines(emails: DataFrame) -> DataFrame:
                             hidden = marked[line - 1]
                             # words before and after marked lines do not follow each other: one 0 stands for all of them
                             keep = ~hidden | (hidden & ~np.concatenate(([False], hidden[:-1])))
-                            new, number = np.where(hidden, 0, whole)[keep], line[keep].astype(np.int32)
+                            new = np.where(hidden, 0, whole)[keep]
+                            if (new & 31).sum() < SPAN:  # too little for a run
+                                new = none
+                            else:
+                                new = with_lines(new, line[keep])
                             empty = np.flatnonzero((np.bincount(line, minlength=len(ks) + 1)[1:] == 0) & ~marked)
                             if len(empty):
                                 lines_ = body.split("\n")
                                 bare = np.array([k + 1 for k in empty.tolist() if lines_[k].strip()], dtype=np.int32)
-                    words.append(whole), fresh.append(new), at_line.append(number), blank.append(bare)
+                    words.append(whole if (whole & 31).sum() >= SPAN else none), fresh.append(new), blank.append(bare)
                 lists = lambda xs: pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in xs]))).astype(np.int32), pa.array(np.concatenate(xs).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), lists(words), pa.array(known, pa.list_(pa.struct([("line", pa.int64()), ("kind", pa.string())]))), lists(fresh), lists(at_line), lists(blank)],
-                    schema=pa.schema([part.schema.field(0), part.schema.field(1), part.schema.field(2), ("words", ints), ("known", pa.list_(pa.struct([("line", pa.int64()), ("kind", pa.string())]))), ("fresh", ints), ("at", ints), ("bare", ints)]),
+                    [part.column(0), part.column(1), part.column(2), lists(words), pa.array(known, pa.list_(pa.struct([("line", pa.int64()), ("kind", pa.string())]))), lists(fresh), lists(blank)],
+                    schema=pa.schema([part.schema.field(0), part.schema.field(1), part.schema.field(2), ("words", ints), ("known", pa.list_(pa.struct([("line", pa.int64()), ("kind", pa.string())]))), ("fresh", ints), ("bare", ints)]),
                 )
 
-    kind = "id long, own string, cited array<string>, words array<int>, known array<struct<line:long,kind:string>>, fresh array<int>, at array<int>, bare array<int>"
+    kind = "id long, own string, cited array<string>, words array<int>, known array<struct<line:long,kind:string>>, fresh array<int>, bare array<int>"
     base, _ = cut(rows.mapInArrow(read, kind))
     marked = base.select("id", F.explode("known").alias("k")).select("id", F.col("k.line").alias("line_no"), "k.kind")
     # words of the cited messages; several copies of a message have the same ones, so the smallest id will do
     above = ancestors(base.where("own is not null").select("own", "cited"))
-    of = base.where("size(fresh) > 0").select("id", "fresh", "at", "bare", "cited")
-    cites = of.select("id", "fresh", "at", "bare", F.explode("cited").alias("own")).where(F.col("own").isNotNull())
-    further = of.where("size(cited) = 1").select("id", "fresh", "at", "bare", F.col("cited")[0].alias("parent")).join(above, "parent").select("id", "fresh", "at", "bare", "own")
+    of = base.where("size(fresh) > 0").select("id", "fresh", "bare", "cited")
+    cites = of.select("id", "fresh", "bare", F.explode("cited").alias("own")).where(F.col("own").isNotNull())
+    further = of.where("size(cited) = 1").select("id", "fresh", "bare", F.col("cited")[0].alias("parent")).join(above, "parent").select("id", "fresh", "bare", "own")
     cites = cites.unionByName(further)
     first = base.where("own is not null and size(words) > 0").groupBy("own").agg(F.min("id").alias("id"))
     owners = base.where("size(words) > 0").select("id", "own", "words").join(first, ["id", "own"], "left_semi").dropDuplicates(["own"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, owns, found = b.column(0).to_pylist(), b.column(5).to_pylist(), [[], [], [], []]
-            for i in range(b.num_rows):
-                fresh, line, bare, old = (b.column(c)[i].values.to_numpy() for c in range(1, 5))
-                got, names = inherited(fresh, line, old)
-                if len(got):
+            for begin in range(0, b.num_rows, 500):
+                part = b.slice(begin, 500)
+                fresh, bare, old = ([x.values.to_numpy() for x in part.column(c)] for c in (1, 2, 3))
+                pair, line, run = inherited(fresh, old)
+                more = [[], [], []]
+                for i in np.unique(pair[[len(bare[p]) > 0 for p in pair]] if len(pair) else pair).tolist():
                     # lines without words belong to the run on both sides of them
-                    has = np.unique(line)
-                    named = dict(zip(got.tolist(), names.tolist()))
-                    for k in bare.tolist():
+                    has, named = np.unique(words_lines(fresh[i])), dict(zip(line[pair == i].tolist(), run[pair == i].tolist()))
+                    for k in bare[i].tolist():
                         j = int(np.searchsorted(has, k))
                         if 0 < j < len(has) and has[j - 1] in named and has[j] in named:
-                            named[k] = named[int(has[j - 1])]
-                    for k, n in named.items():
-                        for column, v in zip(found, (ids[i], k, n, owns[i])):
-                            column.append(v)
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in found[:3]], pa.array(found[3], pa.string())], ["id", "line_no", "run", "own"])
+                            for column, v in zip(more, (i, k, named[int(has[j - 1])])):
+                                column.append(v)
+                pair, line, run = (np.concatenate((x, np.array(y, dtype=np.int64))) for x, y in zip((pair, line, run), more))
+                place = pa.array(pair)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(place), pa.array(line), pa.array(run), part.column(4).take(place)], ["id", "line_no", "run", "own"])
 
-    within = cites.join(owners.select("own", "words"), "own").select("id", "fresh", "at", "bare", "words", "own").mapInArrow(align, "id long, line_no long, run long, own string")
+    within = cites.join(owners.select("own", "words"), "own").select("id", "fresh", "bare", "words", "own").mapInArrow(align, "id long, line_no long, run long, own string")
     within, _ = cut(within)
     phrases = within.where("run <> 0").groupBy("run").agg(F.min("own").alias("a"), F.max("own").alias("z")).where("a <> z").select("run")
     within = within.join(phrases, "run", "left_anti")
