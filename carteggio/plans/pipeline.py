@@ -6,13 +6,16 @@ import hashlib
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from carteggio.functions import cleaning
 from carteggio.functions import text as T
 from carteggio.operators import conversations as C
-from carteggio.operators import terms
+from carteggio.operators import discovery, terms
 from carteggio.operators.timestamps import normalise
+from carteggio.session import cut, tidy
+from carteggio.sources import mailbox, sinks
 from carteggio.sources.tables import table
 
 Stage = Callable[[SparkSession, str, dict[str, DataFrame], dict], DataFrame]
@@ -92,3 +95,35 @@ def run(spark: SparkSession, root: str, workspace: str, options: dict | None = N
             build(spark, root, {r: done[r] for r in reads}, options.get(name, {})).write.mode("overwrite").parquet(path)
         done[name] = spark.read.parquet(path)
     return done
+
+
+@tidy
+def study_mailboxes(spark: SparkSession, folder: str, out: str, accounts: tuple[str, ...] = ()) -> dict[str, int]:
+    """A folder of mailboxes to a study pack below ``out``: read, deduplicate, clean, rebuild conversations, count, export.
+
+    Returns the rows of each artifact: messages, errors, clean_texts, conversations, conversation_messages, terms, nodes, edges.
+    """
+    found, _ = cut(mailbox.messages(mailbox.scan(spark, folder)))
+    fresh = mailbox.unseen(found, found.where("false").select("message_hash"))
+    # ids that do not depend on the number of tasks or their order
+    messages = fresh.withColumn("id", F.xxhash64("message_hash")).withColumn("at", F.to_timestamp("sent_at_iso"))
+    messages, _ = cut(messages)
+    rows = messages.select("id", "subject", F.col("body_text").alias("body_plain"), (F.size("attachments") > 0).cast("int").alias("has_attachments"))
+    clean, _ = cut(cleaning.clean_text(rows).drop("subject", "body_plain"))
+    people = F.array_distinct(F.filter(F.transform(F.concat(F.array("sender"), "recipients"), lambda x: F.lower(F.trim(x))), lambda x: x.isNotNull() & (x != "")))
+    m = messages.join(clean.select("id", "subject_clean"), "id").select(
+        "id", "at", C.message_id(F.col("message_id")).alias("own"), C.cited_ids(F.col("headers_json")).alias("cited"), F.lower("subject_clean").alias("subject_key"), people.alias("participants"), "message_hash",
+    )
+    members = C.reconstruct(m)
+    low = F.lower(F.coalesce("sender", F.lit("")))
+    own = F.exists(F.array(*[F.lit(a.lower()) for a in accounts]), lambda a: low.contains(a)) if accounts else F.lit(False)
+    facts = messages.select("id", "at", "subject", (F.size("attachments") > 0).cast("int").alias("has_attachments"), own.alias("outgoing")).join(m.select("id", "participants"), "id").join(members, "id")
+    conversations = C.fold(facts).join(C.graded(members), "conversation_id").join(C.stable_key_or_fallback(m.join(members, "id")), "conversation_id")
+    order = Window.partitionBy("conversation_id").orderBy(F.col("at").asc_nulls_last(), "id")
+    placed = facts.select("conversation_id", "id", "relation", (F.row_number().over(order) - 1).alias("position"))
+    counts = terms.term_counts(clean.where("not excluded"), "id", T.words(F.col("semantic_text"), 3))
+    edges, _ = cut(discovery.graph(messages, "id", {"domain": T.domains(F.coalesce("sender", F.lit(""))), "person": F.col("recipients")}))
+    return sinks.study_pack(
+        {"messages": messages, "errors": mailbox.errors(found), "clean_texts": clean, "conversations": conversations, "conversation_messages": placed,
+         "terms": terms.vocabulary(counts, "id", 500), "nodes": discovery.nodes(edges), "edges": edges}, out,
+    )
