@@ -26,6 +26,9 @@ from carteggio.session import cut, tidy
 
 #: Least suffix, names in a part of a block, least ratio.
 SUFFIX, PART, RATIO = 4, 4096, 0.8
+#: Surnames under which two given names must share a personal address to be short forms of one; given names that such an
+#: address may have before it counts as shared by several people.
+SUPPORT, PERSONAL = 3, 5
 
 # Lines of business, legal forms, titles, words of offices, short forms of given names.
 BUSINESS = ("costruzioni", "trasporti", "recuperi", "industrie", "servizi", "impianti", "logistica", "ambiente", "engineering", "laboratori", "consulting", "ecologia", "chimica", "energia")
@@ -140,15 +143,15 @@ def parse(name: str | None, firm: bool | None, words: Words) -> tuple[str, str,
     return ("p", given, " ".join(rest)) if rest else None
 
 
-def fit(a: tuple[str, str], b: tuple[str, str], kind: str, given: tuple[bool, bool], attested: tuple[bool, bool]) -> bool:
+def fit(a: tuple[str, str], b: tuple[str, str], kind: str, given: tuple[bool, bool], attested: tuple[bool, bool], kin: tuple[tuple, tuple] = ((), ())) -> bool:
     """Whether (other, main) of two names of one kind may be the same; ``given`` and ``attested`` tell which of the two
-    given names and of the two surnames (or proper words) are known as such."""
+    given names and of the two surnames (or proper words) are known as such, ``kin`` the learned pairs they stand in."""
     (x, p), (y, q) = a, b
     if kind == "f":
         if x != y:
             return False
     elif x != y:
-        gx, gy = LONG.get(x, {x}), LONG.get(y, {y})
+        gx, gy = LONG.get(x, {x}) | set(kin[0]), LONG.get(y, {y}) | set(kin[1])
         if not (gx & gy) and all(given) or not (gx & gy) and not alike(x, y):
             return False
     return p == q or not all(attested) and alike(p, q)
@@ -172,11 +175,11 @@ def near(words: Iterable[str]) -> Iterator[tuple[str, str]]:
 
 
 @lru_cache(maxsize=100_000)
-def traits(other: str, kind: str) -> tuple[frozenset, frozenset]:
+def traits(other: str, kind: str, kin: tuple = ()) -> tuple[frozenset, frozenset]:
     """What a given name (or line of business) is filed under and looked up by: names that may fit share one of these."""
     if kind == "f" or len(other) == 1:
         return frozenset(("=" + other, "l" + other)), frozenset(("=" + other, "w" + other))
-    full = {"=" + v for v in slips(other)} | {"~" + g for g in LONG.get(other, ())}
+    full = {"=" + v for v in slips(other)} | {"~" + g for g in (*LONG.get(other, ()), *kin)}
     initials = {g[:1] for g in (other, *LONG.get(other, ()))}
     return frozenset(full | {"w" + x for x in initials}), frozenset(full | {"l" + x for x in initials})
 
@@ -217,12 +220,34 @@ def known_words(emails: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept, attested
 
 
+def short_forms(parsed: DataFrame, mails: DataFrame) -> DataFrame:
+    """(other, kin): given names that are forms of one another, learned from addresses; ``kin`` names their pairs.
+
+    An address whose user part holds the surname is personal. Two given names that are no slips of each other and stand
+    before the same personal addresses under SUPPORT different surnames are forms of one name. An address with
+    more than PERSONAL given names tells nothing: people of one surname share it.
+    """
+    people = parsed.where("kind = 'p' and firm is null and length(other) > 1").select("name", "other", "main")
+    used = mails.where("address is not null").select("name", "address").distinct().join(people, "name")
+    used = used.withColumn("parts", F.split(F.split_part("address", F.lit("@"), F.lit(1)), "[^a-z]+")).where(F.array_contains("parts", F.col("main")))
+    initial = F.coalesce(F.get(F.filter("parts", lambda x: F.length(x) == 1), F.lit(0)), F.lit(""))
+    used = used.select("address", "main", initial.alias("initial"), "other").distinct()
+    few = used.groupBy("address", "main").agg(F.count("*").alias("n")).where((F.col("n") >= 2) & (F.col("n") <= PERSONAL)).select("address", "main")
+    used, _ = cut(used.join(few, ["address", "main"]))
+    a, b = used.select("address", "main", "initial", F.col("other").alias("x")), used.select("address", "main", F.col("other").alias("y"))
+    pairs = a.join(b, ["address", "main"]).where((F.col("x") < F.col("y")) & (F.levenshtein("x", "y") > 2))
+    pairs = pairs.where((F.col("initial") == "") | (F.col("initial") == F.substring("x", 1, 1)) | (F.col("initial") == F.substring("y", 1, 1)))
+    good = pairs.groupBy("x", "y").agg(F.countDistinct("main").alias("n")).where(F.col("n") >= SUPPORT).select("x", "y", F.concat_ws("|", "x", "y").alias("pair"))
+    return good.select(F.explode(F.array("x", "y")).alias("other"), "pair").groupBy("other").agg(F.array_sort(F.collect_set("pair")).alias("kin"))
+
+
 def named(emails: DataFrame) -> DataFrame:
-    """(id, name) of the senders that have a name and not only an address."""
+    """(id, name, address) of the senders that have a name and not only an address; address is null if there is none."""
     s = F.trim("sender")
     name = F.when(s.rlike(r"^[^(]*@[^(]*\(.*\)\s*$"), F.regexp_extract(s, r"\((.*)\)\s*$", 1)).otherwise(F.regexp_replace(s, r"<[^>]*>?|\S+@\S+", " "))
     name = F.trim(F.regexp_replace(F.regexp_replace(name, r"[\"“”]", " "), r"\s+", " "))
-    return emails.select("id", name.alias("name")).where(r"name rlike '\\p{L}{2}'")
+    address = F.nullif(F.regexp_extract(F.lower("sender"), r"([^\s<>()\"',;:@]+@[^\s<>()\"',;:@]+)", 1), F.lit(""))
+    return emails.select("id", name.alias("name"), address.alias("address")).where(r"name rlike '\\p{L}{2}'")
 
 
 @tidy
@@ -236,7 +261,8 @@ def link(entities: DataFrame, emails: DataFrame) -> DataFrame:
     spark = entities.sparkSession
     listed = entities.where(F.col("entity_type").isin("person", "client", "supplier") & F.col("display_name").isNotNull())
     rows = listed.select(F.lit("entity").alias("record_type"), F.col("id").alias("record_id"), F.trim("display_name").alias("name"), (F.col("entity_type") != "person").alias("firm"))
-    mails = named(emails).select(F.lit("email").alias("record_type"), F.col("id").alias("record_id"), "name", F.lit(None).cast("boolean").alias("firm"))
+    typed, _ = cut(named(emails))
+    mails = typed.select(F.lit("email").alias("record_type"), F.col("id").alias("record_id"), "name", F.lit(None).cast("boolean").alias("firm"))
     rows, _ = cut(rows.unionByName(mails))
     given, attested = known_words(emails)
     # few bytes but much work a name, so the tasks are set by cores and not by size
@@ -271,8 +297,9 @@ def link(entities: DataFrame, emails: DataFrame) -> DataFrame:
     parsed, _ = cut(parsed.withColumn("node", F.concat_ws("|", "kind", "other", "main")))
     nodes = parsed.select("node", "kind", "other", "main").distinct()
     flag = lambda df, c, n: df.select(F.col("word").alias(c), F.lit(True).alias(n))
-    nodes = nodes.join(flag(given, "other", "given"), "other", "left").join(flag(attested, "main", "attested"), "main", "left")
-    nodes, _ = cut(nodes.select("node", "kind", "other", "main", F.coalesce("given", F.lit(False)).alias("given"), F.coalesce("attested", F.lit(False)).alias("attested")))
+    kin, _ = cut(short_forms(parsed, typed))
+    nodes = nodes.join(kin, "other", "left").join(flag(given, "other", "given"), "other", "left").join(flag(attested, "main", "attested"), "main", "left")
+    nodes, _ = cut(nodes.select("node", "kind", "other", "main", F.coalesce("given", F.lit(False)).alias("given"), F.coalesce("attested", F.lit(False)).alias("attested"), F.coalesce("kin", F.array().cast("array<string>")).alias("kin")))
     n = lambda c: F.length(c)
     tails = lambda c, least: F.transform(F.sequence(F.lit(1), F.greatest(n(c) - (least - 1), F.lit(1))), lambda i: F.substr(F.col(c), i))
     begin = F.concat_ws(":", F.when(F.col("kind") == "f", F.col("other")), F.substring("main", 1, 3))
@@ -290,6 +317,7 @@ def link(entities: DataFrame, emails: DataFrame) -> DataFrame:
 
         for t in _batches(batches, "block"):
             c = t.to_pydict()
+            c["kin"] = [tuple(k) for k in c["kin"]]
             out: list[tuple[str, str, bool]] = []
             groups = defaultdict(list)
             for i, k in enumerate(c["block"]):
@@ -303,10 +331,10 @@ def link(entities: DataFrame, emails: DataFrame) -> DataFrame:
                 slots = {p: defaultdict(list) for p in mains}
                 for p, those in mains.items():
                     for i in those:
-                        for k in traits(c["other"][i], c["kind"][i])[0]:
+                        for k in traits(c["other"][i], c["kind"][i], c["kin"][i])[0]:
                             slots[p][k].append(i)
                 for p, q in near(mains):
-                    met = {(i, j) for i in mains[p] for k in traits(c["other"][i], c["kind"][i])[1] for j in slots[q].get(k, ()) if (p != q or i < j) and c["kind"][i] == c["kind"][j]}
+                    met = {(i, j) for i in mains[p] for k in traits(c["other"][i], c["kind"][i], c["kin"][i])[1] for j in slots[q].get(k, ()) if (p != q or i < j) and c["kind"][i] == c["kind"][j]}
                     for i, j in sorted(met):
                         a, b = c["other"][i], c["other"][j]
                         short = c["kind"][i] == "p" and (len(a) == 1 or len(b) == 1)
@@ -314,7 +342,7 @@ def link(entities: DataFrame, emails: DataFrame) -> DataFrame:
                             letter, whole = (a, b) if len(a) == 1 else (b, a)
                             if any(g[0] == letter for g in {whole, *LONG.get(whole, ())}) and (p == q or not (c["attested"][i] and c["attested"][j])):
                                 out.append((c["node"][i], c["node"][j], True))
-                        elif fit((a, p), (b, q), c["kind"][i], (c["given"][i], c["given"][j]), (c["attested"][i], c["attested"][j])):
+                        elif fit((a, p), (b, q), c["kind"][i], (c["given"][i], c["given"][j]), (c["attested"][i], c["attested"][j]), (c["kin"][i], c["kin"][j])):
                             out.append((c["node"][i], c["node"][j], False))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out]), pa.array([o[1] for o in out]), pa.array([o[2] for o in out])], ["src", "dst", "initial"])

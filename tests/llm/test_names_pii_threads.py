@@ -39,6 +39,19 @@ def test_crowded_endings(spark, monkeypatch):
         assert got == {101: 100, 103: 102, 105: 104, 107: 106, 109: 108, 111: 110}
 
 
+def test_short_forms_are_learned(spark):
+    """Michael and Mike stand in no list: they are found because three people use both before their own address."""
+    assert not {"michael", "mike", "anna"} & set(names.LONG)
+    senders = [f"{g} {s} <m.{s.lower()}@firm.example>" for s in ("Corvandel", "Berlotti", "Zanmiro") for g in ("Michael", "Mike") for _ in range(2)]
+    senders += [f"Anna {s} <m.{s.lower()}@firm.example>" for s in ("Corvandel", "Berlotti")]  # a relative at the same address, twice only
+    listed = [(1, "Michael Pesgulli"), (2, "Mike Pesgulli"), (3, "Anna Pesgulli"), (4, "Michael Tarnesco"), (5, "Marco Tarnesco")]
+    entities = spark.createDataFrame([(i, "person", n) for i, n in listed], "id long, entity_type string, display_name string")
+    got = {r["record_id"]: r["entity_id"] for r in names.link(entities, mails(spark, [{"id": 100 + i, "sender": x} for i, x in enumerate(senders)])).collect()}
+    assert got == {2: 1}
+    few = mails(spark, [{"id": 100 + i, "sender": x} for i, x in enumerate(senders) if "Zanmiro" not in x])
+    assert names.link(entities, few).count() == 0
+
+
 def test_long_names():
     words = names.Words({"maria": 5, "teresa": 5}, frozenset())
     want = ("p", "maria teresa", "della rovere corvandel")
