@@ -70,16 +70,5 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def keywords(docs: DataFrame, doc: str, group: str, words: Column, stop: list[str], k: int = 10, longest: int = 2) -> DataFrame:
-    """(group, term, score, rank): phrases with the greatest mean sublinear TF-IDF over the documents of a group."""
-    clean = F.filter(words, lambda w: ~w.isin(*stop))
-    grams = F.concat(*[ngrams(F.col("_w"), n) for n in range(1, longest + 1)])
-    counts = term_counts(docs.select(doc, clean.alias("_w")), doc, grams)
-    weights = tfidf(counts, doc, docs.agg(F.count("*").alias("n")), sublinear=True)
-    sizes = docs.groupBy(group).agg(F.count("*").alias("size"))
-    mean = weights.join(docs.select(doc, group), doc).groupBy(group, "term").agg(F.sum("weight").alias("s")).join(sizes, group).select(group, "term", (F.col("s") / F.col("size")).alias("score"))
-    return top_k(mean, [group], [F.round("score", 9).desc(), F.col("term")], k)
-
-
 def positions(df: DataFrame, group: str, order: list[Column], name: str = "position") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1)
