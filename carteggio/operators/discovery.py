@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carteggio.operators import terms
+from carteggio.session import cut, tidy
 
 # Mail services whose name is no entity, and letters with their plain form.
 SERVICES = ("gmail", "outlook", "hotmail", "yahoo")
@@ -23,23 +32,83 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
-def _tokens(c: Column) -> Column:
-    return F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}_]+)"), 1)
+#: Bits of the filter that tells which runs of words can be names; fixed, whatever the number of entries.
+FILTER = 23
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+WORD = re.compile(r"(\w+)")  # the letters, digits and underscores of [\p{L}\p{N}_]
 
 
+@lru_cache(maxsize=200_000)
+def _code(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "replace")) + 1
+
+
+def _places(codes: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each size the places in the filter of the runs of so many words, by their first word."""
+    n = len(codes)
+    power, back = (np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n, b)))) for b in (BASE, INVERSE))
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(codes * power[:-1])))
+    for k in sizes:
+        if k <= n:
+            h = (sums[k:] - sums[:-k]) * back[: n - k + 1]
+            yield k, ((h ^ (h >> np.uint64(29))) * BASE >> np.uint64(64 - FILTER)).astype(np.int64)
+
+
+@tidy
 def mentions(docs: DataFrame, doc: str, text: str, entries: DataFrame, entry: str, name: str) -> DataFrame:
     """(entry, doc): dictionary entries of any number of words that a text holds as whole words, case ignored.
 
-    Texts and entries meet by the first word of the entry, so no entry is compared with every text; the whole name is
-    then looked for in the texts that hold its first word. Null and wordless names match nothing.
+    Every run of as many words as some entry has is looked up in a filter of fixed size made from the entries. Runs that
+    pass, letters and signs between their words included, meet the entries that read the same, so texts are neither
+    shuffled nor searched for each entry that shares a word with them. Null and wordless names match nothing.
     """
-    e = entries.select(entry, F.lower(F.trim(name)).alias("_name"), F.get(_tokens(F.col(name)), F.lit(0)).alias("_w")).where("_w is not null")
-    found = docs.where(F.col(text).isNotNull()).select(doc, F.explode(F.array_distinct(_tokens(F.col(text)))).alias("_w")).join(e, "_w")
-    quoted = F.regexp_replace("_name", r"([\\.\[\]{}()*+?^$|\-])", r"\\$1")
-    single = ~F.col("_name").rlike(r"[^\p{L}\p{N}_]")
-    several = found.where(~single).join(docs.select(doc, F.lower(text).alias("_t")), doc)
-    hit = F.regexp_like("_t", F.concat(F.lit(r"(?:^|[^\p{L}\p{N}_])"), quoted, F.lit(r"(?:$|[^\p{L}\p{N}_])")))
-    return found.where(single).select(entry, doc).unionByName(several.where(hit).select(entry, doc)).distinct()
+    spark = docs.sparkSession
+    kind = entries.schema[entry].dataType.simpleString()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            split = [WORD.split(x) for x in b.column(1).to_pylist()]
+            some = [i for i, s in enumerate(split) if len(s) > 1]
+            split = [split[i] for i in some]
+            place = [int(p[0]) for s in split for _, p in _places(np.array([_code(w) for w in s[1::2]], dtype=np.uint64), [len(s) // 2])]
+            columns = [["".join(s[1:-1]) for s in split], [s[0] for s in split], [s[-1] for s in split], [len(s) // 2 for s in split], place]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())))], ["entry", "core", "left", "right", "size", "place"])
+
+    names = entries.where(F.col(name).isNotNull()).select(F.col(entry).alias("entry"), F.lower(F.trim(name)).alias("name"))
+    names, _ = cut(names.mapInArrow(read, f"entry {kind}, core string, left string, right string, size long, place long"))
+    sizes = sorted(r["size"] for r in names.select("size").distinct().collect())  # different numbers of words in a name
+    edge = names.agg(F.coalesce(F.max(F.length("left")), F.lit(0)).alias("left"), F.coalesce(F.max(F.length("right")), F.lit(0)).alias("right")).first()
+    left, right = edge["left"] + 1, edge["right"] + 1
+    set_bytes = names.groupBy(F.shiftright("place", 3).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(place % 8 as int))")).alias("bits")).toArrow()
+    filled = np.zeros(1 << FILTER - 3, dtype=np.uint8)
+    filled[set_bytes["at"].to_numpy()] = set_bytes["bits"].to_numpy()
+    packed = zlib.compress(filled.tobytes())
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
+        for b in batches:
+            for begin in range(0, b.num_rows, 500):
+                part = b.slice(begin, 500)
+                split = [WORD.split(x) for x in part.column(1).to_pylist()]
+                size = np.array([len(s) // 2 for s in split])
+                codes = np.fromiter(map(_code, chain.from_iterable(s[1::2] for s in split)), np.uint64, int(size.sum()))
+                of, first = np.repeat(np.arange(len(split)), size), np.cumsum(size) - size
+                found = set()
+                for k, place in _places(codes, sizes):
+                    hit = np.flatnonzero((bits[place >> 3] >> (place & 7)) & 1)
+                    hit = hit[of[hit] == of[hit + k - 1]]
+                    for i, at in zip(of[hit].tolist(), (2 * (hit - first[of[hit]])).tolist()):
+                        s, end = split[i], at + 2 * k
+                        # a blank stands for the border of the text: what a name's own signs leave of a gap is never empty then
+                        before, after = s[at] if at else " " + s[0], s[end] if end < len(s) - 1 else s[end] + " "
+                        found.add((i, "".join(s[at + 1 : end]), before[-left:], after[:right]))
+                rows = list(zip(*found)) or [(), (), (), ()]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows[0], pa.int64())), *(pa.array(c, pa.string()) for c in rows[1:])], [doc, "core", "before", "after"])
+
+    runs = docs.where(F.col(text).isNotNull()).select(doc, F.lower(text).alias("_t")).mapInArrow(find, f"`{doc}` {docs.schema[doc].dataType.simpleString()}, core string, before string, after string")
+    whole = F.endswith("before", F.col("left")) & (F.length("before") > F.length("left")) & F.startswith("after", F.col("right")) & (F.length("after") > F.length("right"))
+    return runs.join(names.drop("size", "place"), "core").where(whole).select(F.col("entry").alias(entry), doc).distinct()
 
 
 def graph(items: DataFrame, key: str, links: dict[str, Column]) -> DataFrame:
