@@ -1,12 +1,10 @@
-"""Term statistics on long (doc, term) tables: TF-IDF, keywords, similarity, ranking. No driver-side vocabulary."""
+"""Term statistics on long (doc, term) tables: TF-IDF, keywords, ranking. No driver-side vocabulary."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from carteggio.operators.relational import top_k
-
 
 def term_counts(docs: DataFrame, doc: str, words: Column) -> DataFrame:
     """(doc, term, tf, first): occurrences and the first position of each term in a document."""
@@ -37,18 +35,6 @@ def tfidf(counts: DataFrame, doc: str, n_docs: DataFrame, size: int | None = Non
     return weighted.join(norm, doc).select(doc, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def similar(weights: DataFrame, doc: str, queries: Column, k: int = 5) -> DataFrame:
-    """(source, target, similarity): the ``k`` most similar documents of each query by cosine, from shared terms only.
-
-    ``queries`` selects the documents searched for, against all documents. Postings meet by term and are summed per pair,
-    so documents that share no term are never paired.
-    """
-    a = weights.where(queries).select(F.col(doc).alias("source"), "term", F.col("weight").alias("wa"))
-    b = weights.select(F.col(doc).alias("target"), "term", F.col("weight").alias("wb"))
-    pairs = a.join(b, "term").where("source <> target").groupBy("source", "target").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity"))
-    return top_k(pairs.where("similarity > 0"), ["source"], [F.round("similarity", 9).desc(), F.col("target")], k).drop("rank")
-
-
 def bm25(counts: DataFrame, doc: str, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(doc, score): documents with every term of the query; a greater score is better.
 

@@ -10,6 +10,7 @@ from carteggio.operators import conversations as C
 from carteggio.operators import graph, terms, timestamps
 from carteggio.operators import relational as R
 from carteggio.operators import vectors as V
+from carteggio.operators.nearest import nearest
 from carteggio.sources.tables import table
 
 QUERIES: dict = {}
@@ -239,9 +240,8 @@ def tfidf_top_terms(spark, root):
  select source, target, round(similarity, 6) as similarity from (select *, row_number() over (partition by source order by round(similarity, 9) desc, target) as rk from p where similarity > 0) where rk <= 5""")
 def similarity_edges(spark, root):
     # a search: every document whose id is divisible by 20 against all documents
-    docs, counts = _counts(spark, root)
-    w = terms.tfidf(counts, "doc_id", docs.agg(F.count("*").alias("n")), 1000)
-    return terms.similar(w, "doc_id", F.col("doc_id") % 20 == 0).select("source", "target", F.round("similarity", 6).alias("similarity"))
+    near = nearest(table(spark, root, "documents"), "doc_id", "text", "[a-zà-öø-ÿ]{3,}", F.col("doc_id") % 20 == 0, "lang")
+    return near.select("source", "target", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"with {_COUNTS}, l as (select doc_id, sum(tf) as len from c group by 1), g as (select count(*) as n, avg(len) as mean from l), h as (select * from c where term in ('impianto', 'fanghi')), d as (select term, count(*) as df from h group by 1)"
