@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,7 @@ INTRO = re.compile(
 )
 ENDS_INTRO = re.compile(rf"(?:{_VERB}.*|\d[:.]\d{{2}}.*|>\s*|^scritto\s*|^écrit\s*|(?i:citando|quoting|citant|zitat|citado|cito).*):\s*$")
 RULE = re.compile(r"(?:-{3,}\s*\w.*\w\s*-{3,}|_{20,}|(?:inizio|begin|début|beginn|anfang|inicio)\b.{0,50}(?:inoltrat|forwarded|transf|transm|weiterg|reenvi).{0,20}:)$", re.I)
+RULE_SIGNS = frozenset("-_ibdaIBDAİı")  # what RULE can begin with, case ignored
 FROM = re.compile(r"\W{0,3}(?:da|from|von|de|mittente)\*?\s?:\*?\s*\S", re.I)
 FIELD = re.compile(r"\W{0,3}(?:inviato|sent|gesendet|envoyé|enviado|data|date|datum|fecha|a|to|an|à|para|cc|oggetto|subject|betreff|objet|asunto)\*?\s?:\*?", re.I)
 # Closing formulas, separators, device lines and openings of notices, by language.
@@ -101,10 +102,11 @@ def classify(body: str) -> list[str]:
     kind = [""] * n
     # prefixed lines
     runs, i = [], 0
+    prefixed = [">" in s[:4] or s[:1] == "|" for s in lines]  # what no other line has; most need no expression then
     while i < n:
-        if PREFIX.match(lines[i]):
+        if prefixed[i] and PREFIX.match(lines[i]):
             j = i
-            while j < n and PREFIX.match(lines[j]):
+            while j < n and prefixed[j] and PREFIX.match(lines[j]):
                 j += 1
             if j - i > 1 or not re.match(r"[>|]\s*\d", lines[i]):
                 runs.append((i, j))
@@ -120,13 +122,13 @@ def classify(body: str) -> list[str]:
             continue
         s = lines[i]
         start = -1
-        if FROM.match(s) and not SEPARATOR.fullmatch(s):
+        if ":" in s[:16] and FROM.match(s) and not SEPARATOR.fullmatch(s):
             near = [k for k in range(i + 1, min(n, i + 4)) if FIELD.match(lines[k])]
             above = next((k for k in range(i - 1, max(-1, i - 4), -1) if lines[k]), -1)
             ruled = above >= 0 and RULE.match(lines[above])
             if near or (ruled and "@" in s) or ruled:
                 start = above if ruled else i
-        elif RULE.match(s) and not SEPARATOR.fullmatch(s):
+        elif s[0] in RULE_SIGNS and RULE.match(s) and not SEPARATOR.fullmatch(s):
             start = i
         if start >= 0:
             end = start
@@ -206,7 +208,6 @@ def classify(body: str) -> list[str]:
     return kind
 
 
-@lru_cache(maxsize=200_000)
 def code(word: str) -> int:
     """27 bits of hash and 5 of length; 0 stands for no word, LINE_END for a line end."""
     if word == "\n":
@@ -214,6 +215,22 @@ def code(word: str) -> int:
     return (zlib.crc32(word.encode("utf-8", "replace")) >> 5 << 5 | min(len(word), 31)) - (1 << 31)
 
 
+class _Codes(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = known = code(word)
+        return known
+
+
+_CODES = _Codes()
+
+
+def codes_of(words: list[str]) -> np.ndarray:
+    """Codes of words; those of some 200,000 words are kept."""
+    if len(_CODES) > 200_000:
+        _CODES.clear()
+    return np.fromiter(map(_CODES.__getitem__, words), np.int32, len(words))
+
+
 def shingles(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(begin, end, hash) of the shingles of a sequence; 0 in it is a break that no shingle crosses."""
     signs = np.where(codes == 0, 0, codes.astype(np.int64) & 31)
@@ -231,10 +248,13 @@ def shingles(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return begin, end, (sums[end] - sums[begin]) * back[begin]
 
 
-def with_lines(codes: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """Codes of words with a mark before the first word of every line: its number in place of the hash, its length 0."""
-    at = np.flatnonzero(np.concatenate(([True], np.diff(line) != 0))) if len(line) else np.zeros(0, dtype=np.int64)
-    return np.insert(codes, at, (line[at].astype(np.int64) * 32 + LINE_END).astype(np.int32))
+def with_lines(codes: np.ndarray, line: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of words with a mark before the first word of every line: its number in place of the hash, its length 0.
+
+    ``row`` tells lines of different messages apart. Also returns the places of the first words of lines.
+    """
+    at = np.flatnonzero(np.concatenate(([True], np.diff(row) != 0))) if len(row) else np.zeros(0, dtype=np.int64)
+    return np.insert(codes, at, (line[at].astype(np.int64) * 32 + LINE_END).astype(np.int32)), at
 
 
 def inherited(fresh: list[np.ndarray], old: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -327,39 +347,50 @@ def lines(emails: DataFrame) -> DataFrame:
     rows = rows.select("id", own.alias("own"), cited.alias("cited"), "body_plain")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ints, none = pa.list_(pa.int32()), np.zeros(0, dtype=np.int32)
+        mark_type = pa.list_(pa.struct([("line", pa.int64()), ("kind", pa.string())]))
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                words, known, fresh, blank = [], [], [], []
-                for own, cited, body in zip(*(part.column(i).to_pylist() for i in (1, 2, 3))):
-                    ks = classify(body)
-                    known.append([{"line": k, "kind": w} for k, w in enumerate(ks, 1) if w])
-                    whole, new, bare = none, none, none
-                    if own or cited:  # a message that neither cites nor can be cited has nothing to align
-                        tokens = TOKEN.findall(body.lower())
-                        codes = np.fromiter(map(code, tokens), dtype=np.int64, count=len(tokens)).astype(np.int32)
-                        ends = codes == LINE_END
-                        line, whole = (np.cumsum(ends) + 1)[~ends], codes[~ends]
-                        if cited:
-                            marked = np.array([bool(w) for w in ks])
-                            hidden = marked[line - 1]
-                            # words before and after marked lines do not follow each other: one 0 stands for all of them
-                            keep = ~hidden | (hidden & ~np.concatenate(([False], hidden[:-1])))
-                            new = np.where(hidden, 0, whole)[keep]
-                            if (new & 31).sum() < SPAN:  # too little for a run
-                                new = none
-                            else:
-                                new = with_lines(new, line[keep])
-                            empty = np.flatnonzero((np.bincount(line, minlength=len(ks) + 1)[1:] == 0) & ~marked)
-                            if len(empty):
-                                lines_ = body.split("\n")
-                                bare = np.array([k + 1 for k in empty.tolist() if lines_[k].strip()], dtype=np.int32)
-                    words.append(whole if (whole & 31).sum() >= SPAN else none), fresh.append(new), blank.append(bare)
-                lists = lambda xs: pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in xs]))).astype(np.int32), pa.array(np.concatenate(xs).astype(np.int32)))
+                own, cited, bodies = (part.column(i).to_pylist() for i in (1, 2, 3))
+                n, kinds = len(bodies), [classify(x) for x in bodies]
+                # a message that neither cites nor can be cited has nothing to align
+                tokens = [TOKEN.findall(x.lower()) if o or c else [] for o, c, x in zip(own, cited, bodies)]
+                size = np.array([len(x) for x in tokens])
+                codes, of = codes_of(list(chain.from_iterable(tokens))), np.repeat(np.arange(n), size)
+                ends = codes == LINE_END
+                passed = np.concatenate(([0], np.cumsum(ends)))
+                # lines of all messages in one sequence
+                height = np.array([len(x) for x in kinds])
+                top = np.cumsum(height) - height
+                marked = np.fromiter(map(bool, chain.from_iterable(kinds)), bool, int(height.sum()))
+                line = (passed[:-1] - np.repeat(passed[np.cumsum(size) - size], size))[~ends]
+                whole, of = codes[~ends], of[~ends]
+                signs = lambda x, of: np.bincount(of, x & 31, n)
+                row = top[of] + line
+                cites = np.array([bool(c) for c in cited])
+                empty = np.flatnonzero((np.bincount(row, minlength=len(marked)) == 0) & ~marked & np.repeat(cites, height))
+                bare = [[] for _ in range(n)]
+                for i, k in zip((np.searchsorted(top, empty, "right") - 1).tolist(), empty.tolist()):
+                    bare[i].append(k - int(top[i]) + 1)
+                for i in np.flatnonzero(cites).tolist():
+                    if bare[i]:
+                        text = bodies[i].split("\n")
+                        bare[i] = [k for k in bare[i] if text[k - 1].strip()]
+                # words before and after marked lines do not follow each other: one 0 stands for all of them
+                hidden = marked[row]
+                begins = np.concatenate(([True], np.diff(of) != 0)) if len(of) else np.zeros(0, dtype=bool)
+                keep = (~hidden | begins | ~np.concatenate(([False], hidden[:-1]))[: len(hidden)]) & cites[of]
+                fresh, of_fresh, row = np.where(hidden, np.int32(0), whole)[keep], of[keep], row[keep]
+                some = (signs(fresh, of_fresh) >= SPAN)[of_fresh]  # else too little for a run
+                fresh, of_fresh, row = fresh[some], of_fresh[some], row[some]
+                fresh, first = with_lines(fresh, row - top[of_fresh] + 1, row)
+                in_fresh = np.bincount(of_fresh, minlength=n) + np.bincount(of_fresh[first], minlength=n)
+                some = (signs(whole, of) >= SPAN)[of]
+                lists = lambda x, size: pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(size))).astype(np.int32), pa.array(np.asarray(x, dtype=np.int32)))
+                known = [[{"line": k, "kind": w} for k, w in enumerate(ks, 1) if w] for ks in kinds]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), lists(words), pa.array(known, pa.list_(pa.struct([("line", pa.int64()), ("kind", pa.string())]))), lists(fresh), lists(blank)],
-                    schema=pa.schema([part.schema.field(0), part.schema.field(1), part.schema.field(2), ("words", ints), ("known", pa.list_(pa.struct([("line", pa.int64()), ("kind", pa.string())]))), ("fresh", ints), ("bare", ints)]),
+                    [part.column(0), part.column(1), part.column(2), lists(whole[some], np.bincount(of[some], minlength=n)), pa.array(known, mark_type), lists(fresh, in_fresh), lists(list(chain.from_iterable(bare)), [len(x) for x in bare])],
+                    schema=pa.schema([part.schema.field(0), part.schema.field(1), part.schema.field(2), ("words", pa.list_(pa.int32())), ("known", mark_type), ("fresh", pa.list_(pa.int32())), ("bare", pa.list_(pa.int32()))]),
                 )
 
     kind = "id long, own string, cited array<string>, words array<int>, known array<struct<line:long,kind:string>>, fresh array<int>, bare array<int>"

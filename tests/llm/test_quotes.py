@@ -1,5 +1,7 @@
 """Lines that were not newly written."""
 
+import numpy as np
+
 from carteggio.llm import quotes
 
 
@@ -67,3 +69,19 @@ def test_common_phrases_are_no_quotations(spark):
     df = spark.createDataFrame(rows, "id long, original_message_id string, raw_headers_json string, body_plain string")
     assert quotes.lines(df).count() == 0
     assert {(r["id"], r["line_no"]) for r in quotes.lines(df.where("id < 3")).collect()} == {(2, 2)}
+
+
+def test_messages_read_together(spark):
+    """Messages of one batch do not mix: without bodies, words or headers, with marks at either end, alone or together."""
+    old = "Il verbale del sopralluogo resta in bozza e va completata la tabella delle portate misurate."
+    bodies = [old, "> segno\n" + old, old + "\n\n...\n> segno", "...\n" + old + "\n***\n", "\n", "7", "> solo segni\n> e altri", "Nuovo.\n" + old.replace(" e ", "\n...\ne ") + "\nNuovo.\n\nSaluti\nAnna Rossi"]
+    rows = [(100, "<a@x>", None, old)]
+    for i, b in enumerate(bodies * 2):
+        rows.append((i, f"<m{i}@x>" if i % 3 else None, '{"References": "<a@x>"}' if i % 5 else None, b))
+    kind = "id long, original_message_id string, raw_headers_json string, body_plain string"
+    found = lambda df: {(r["id"], r["line_no"], r["kind"]) for r in quotes.lines(df).collect()}
+    together = found(spark.createDataFrame(rows, kind).coalesce(1))
+    assert together == found(spark.createDataFrame(rows, kind).repartition(len(rows), "id")) and len(together) > 20
+    assert quotes.codes_of(["a", "\n", "a"]).tolist() == [quotes.code("a"), quotes.LINE_END, quotes.code("a")]
+    codes, first = quotes.with_lines(quotes.codes_of(["a", "b", "c"]), np.array([1, 1, 1]), np.array([4, 4, 9]))
+    assert first.tolist() == [0, 2] and quotes.words_lines(codes).tolist() == [1, 1]
