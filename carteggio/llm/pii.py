@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -55,9 +56,15 @@ _AROUND = (
      rf"(?<!\w)\d{{1,4}}(?:{_GAP}(?:bis|ter|quater))?,?{_GAP}(?:rue|avenue|chemin|place|impasse|allée|boulevard|quai|route){_GAP}(?:(?:de|du|des|la|le|les|l|d)\b['’]?{_GAP}?){{0,2}}[{_UP}][\w'’-]+"),
     (("str.", "straße", "strasse", "weg", "gasse", "platz", "allee"), rf"(?<!\w)[{_UP}][\w-]*(?:str\.|straße|strasse|weg|gasse|platz|allee){_GAP}\d{{1,4}}[a-z]?\b(?![.:]\d)"),
 )
+#: White space beside a word of ``_AROUND`` as it stands in an address; where there is none, no such address is near.
+_SIGN = re.compile(
+    r"[ \t\r\n>|](?:(?=[ \t\r\n>|A-Z\d])(?<=(?:str\.|raße|asse|.weg|latz|llee)[ \t\r\n>|])"
+    r"|(?=[A-Z])(?:Lane|Road|Street|St|Close|Rd|Ave|Drive|Way|Square|Court|Terrace|Crescent|Gardens)"
+    r"|(?=[abcipqr])(?:rue|avenue|chemin|place|impasse|allée|boulevard|quai|route)(?=[ \t\r\n]))"
+)
 _STREET = tuple((keys, re.compile(rule)) for keys, rule in _STREET)
 _AROUND = tuple((keys, re.compile(rule)) for keys, rule in _AROUND)
-EMAIL = re.compile(r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]*(?:@|[ \t]?[\[({][ \t]?(?:at|AT|chiocciola|@)[ \t]?[\])}][ \t]?|[ \t]@[ \t])[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+EMAIL = re.compile(r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]*+(?:@|[ \t]?[\[({][ \t]?(?:at|AT|chiocciola|@)[ \t]?[\])}][ \t]?|[ \t]@[ \t])[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _AT = ("@", "[at]", "(at)", "{at}", "[AT]", "(AT)", "[ at", "( at", "chiocciola")
 ID = re.compile(
     rf"(?<![\w./-])(?:[A-Za-z]{{6}}\d\d[A-Za-z]\d\d[A-Za-z]\d{{3}}[A-Za-z]|[A-Za-z]{{3}} [A-Za-z]{{3}} \d\d[A-Za-z]\d\d [A-Za-z]\d{{3}}[A-Za-z]|756[.]\d{{4}}[.]\d{{4}}[.]\d\d"
@@ -71,10 +78,16 @@ PHONE = re.compile(
 )
 #: What else may be a phone or an identity number, if its patterns say so.
 CODE = re.compile(r"(?<![\w./+-])(?=[A-Za-z]{0,4}\d)[A-Za-z0-9]{7,16}(?![\w/]|[.,-]\d|@)")
-_DIGITS = re.compile(r"\d+")
+#: ``id``, ``phone`` and other codes by group, the first that fits.
+_FORM = re.compile(f"({ID.pattern})|({PHONE.pattern})|({CODE.pattern})")
+#: The first digit of a number that one of these forms may hold: after a sign, long enough or divided like one, after letters.
+_DIGITS = re.compile(
+    r"\d(?:(?<=[+(]\d)|(?<![\w./+(-]\d)(?:(?=[A-Za-z\d]{6}|\d\d[.\-]\d{3})|(?<=0)(?=0\d|\d{1,4}[/\- ]\d{3})|(?<=[12])(?= \d\d ))"
+    r"|(?<=[A-Za-z]\d)(?=[A-Za-z\d])|(?<=[A-Z][A-Z][ \t\n]\d)(?=\d))"
+)
 WORD = re.compile(rf"[{_UP}][\w'’]+")
-#: A capitalised word, or what begins like a number, and the word before it.
-_PAIR = re.compile(rf"(\S+)[ \t]+(?=([{_UP}][a-zß-ÿ'’]+[a-zß-ÿ])(?![\w@]))")
+#: A capitalised word, or what begins like a number, and the word before it; a word is tried from its first character only.
+_PAIR = re.compile(rf"(?<!\S)(\S++)[ \t]++(?=([{_UP}][a-zß-ÿ'’]+[a-zß-ÿ])(?![\w@]))")
 
 
 def fold(word: str) -> str:
@@ -110,13 +123,14 @@ def before(text: str, at: int) -> str:
     while z and text[z - 1] in " \t":
         z -= 1
     low = max(0, z - 64)
-    a = max(text.rfind(" ", low, z), text.rfind("\n", low, z), text.rfind("\t", low, z), text.rfind("\r", low, z), text.rfind("\xa0", low, z), low - 1) + 1
-    return text[a:z]
+    word = text[text.rfind(" ", low, z) + 1 or low : z]
+    if not word.isprintable():  # other white space, or nothing of the kind
+        word = word[max(map(word.rfind, "\n\t\r\xa0")) + 1 :]
+    return word
 
 
 def starts(text: str) -> Iterator[int]:
-    """Where a phone, an identity number or another code may begin: each digit run, or the letters or sign before it."""
-    last = -1
+    """Where a phone, an identity number or another code may begin: a digit run, or the letters or sign before it."""
     for m in _DIGITS.finditer(text):
         a = m.start()
         p = a
@@ -127,20 +141,17 @@ def starts(text: str) -> Iterator[int]:
             if c in "+(":
                 p = a - 1
             elif c in " \t\n" and a > 2 and text[a - 3 : a - 1].isalpha() and text[a - 3 : a - 1].isupper() and (a == 3 or not text[a - 4].isalnum()):
-                if a - 3 > last:
-                    yield a - 3
-        if p > last and not (p and (text[p - 1].isalnum() or text[p - 1] in "_./+-")):
+                yield a - 3
+        if not (p and (text[p - 1].isalnum() or text[p - 1] in "_./+-")):
             yield p
-        last = p
 
 
 def code_kind(text: str, at: int) -> tuple[str, int]:
     """(``id``, ``phone``, a shape, or empty; end) of what begins at a position."""
-    for kind, rule in (("id", ID), ("phone", PHONE)):
-        if m := rule.match(text, at):
-            return kind, m.end()
-    m = CODE.match(text, at)
-    return (shape(m.group()), m.end()) if m else ("", at)
+    m = _FORM.match(text, at)
+    if not m:
+        return "", at
+    return ("id", "phone")[m.lastindex - 1] if m.lastindex < 3 else shape(m.group()), m.end()
 
 
 def senders(emails: DataFrame) -> DataFrame:
@@ -152,14 +163,15 @@ def senders(emails: DataFrame) -> DataFrame:
     both = F.concat_ws(" ", "sender", "recipients", "cc", "bcc")
     users = emails.select(F.explode(F.regexp_extract_all(F.lower(both), F.lit(r"([a-z]+[._][a-z]{3,}(?:-[a-z]+)?)(?:\+[a-z0-9]+)?@"), 1)).alias("u"))
     parts = users.groupBy("u").agg(F.count("*").alias("n")).select(F.split("u", "[._]").alias("p"), "n")
-    surnames = parts.select(F.element_at("p", -1).alias("word"), F.lit("surname").alias("role"), "n")
-    givens = parts.where(F.length(F.col("p")[0]) > 2).select(F.col("p")[0].alias("word"), F.lit("given").alias("role"), "n")
+    # both ends of a user part from one reading of the fields
+    ends = F.array(*(F.struct(w.alias("word"), F.lit(role).alias("role")) for w, role in ((F.element_at("p", -1), "surname"), (F.col("p")[0], "given"))))
+    users = parts.select(F.inline(ends), "n").where("role = 'surname' or length(word) > 2")
     plain = F.translate(F.regexp_replace(F.lower("sender"), r"\S+@\S+", " "), "àáâäãèéêëìíîïòóôöõùúûüñç", "aaaaaeeeeiiiiooooouuuunc")
-    user = r"(?:^|[^a-z0-9])([a-z])[._]([a-z]{3,})[^@\s]*@"
-    named = emails.select(F.regexp_extract_all(plain, F.lit(r"([a-z']{2,})"), 1).alias("w"), F.regexp_extract(F.lower("sender"), user, 1).alias("i"), F.regexp_extract(F.lower("sender"), user, 2).alias("s"))
+    user = F.regexp_extract(F.lower("sender"), r"(?:^|[^a-z0-9])([a-z][._][a-z]{3,})[^@\s]*@", 1)
+    named = emails.select(F.regexp_extract_all(plain, F.lit(r"([a-z']{2,})"), 1).alias("w"), F.substring(user, 1, 1).alias("i"), F.substring(user, 3, 1 << 30).alias("s"))
     # "Given Surname <g.surname@...>": the other word begins with the initial
     pair = named.where("i <> '' and array_contains(w, s)").select("i", "s", F.explode(F.slice("w", 1, 3)).alias("word")).where("length(word) > 2 and word <> s and startswith(word, i)")
-    return surnames.unionByName(givens).unionByName(pair.groupBy("word").agg(F.count("*").alias("n")).select("word", F.lit("given").alias("role"), "n")).groupBy("word", "role").agg(F.sum("n").alias("n"))
+    return users.unionByName(pair.groupBy("word").agg(F.count("*").alias("n")).select("word", F.lit("given").alias("role"), "n")).groupBy("word", "role").agg(F.sum("n").alias("n"))
 
 
 class Lexicon:
@@ -172,6 +184,7 @@ class Lexicon:
         self.patterns = patterns  # (kind, pattern) -> score
         self.kinds: dict[str, str] = {}
         self.contexts: dict[str, str] = {}
+        self.leads: dict[str, int] = {}
         self._finder = None
 
     def kind(self, word: str) -> str:
@@ -185,9 +198,8 @@ class Lexicon:
             self.kinds[word] = k
         return k
 
-    def pattern(self, text: str, at: int) -> str:
-        """The pattern before a position."""
-        word = before(text, at)
+    def pattern(self, word: str) -> str:
+        """The pattern of the word before a position."""
         p = self.contexts.get(word)
         if p is None:
             if len(self.contexts) > 200_000:
@@ -195,6 +207,16 @@ class Lexicon:
             p = self.contexts[word] = pattern_of(word, self.names) if word else "|"
         return p
 
+    def lead(self, word: str) -> int:
+        """What makes an unknown capitalised word after this one a name: 1 a trusted pattern, 2 a title, 4 an initial; their sum."""
+        n = self.leads.get(word)
+        if n is None:
+            if len(self.leads) > 200_000:
+                self.leads.clear()
+            n = (self.patterns.get(("name", self.pattern(word)), 0.0) >= 0.9) + 2 * bool(_TITLES.fullmatch(word)) + 4 * (len(word) == 2 and word[1] == "." and word[0].isupper())
+            self.leads[word] = n
+        return n
+
     @property
     def finder(self):
         """Finds surnames in lower-case text."""
@@ -304,6 +326,8 @@ _BETWEEN = re.compile(rf"(?:{_GAP}(?:[{_UP}]\.{_GAP})?|,{_GAP}|\.)\Z")
 _NEXT = re.compile(rf"(?:{_GAP}|[ \t]*-[ \t]*)?([^\W\d_]+)")
 _LETTERS = re.compile(r"[^\W\d_]+\Z")
 _TITLES = re.compile(rf"(?i:(?:l['’]|un['’]|all['’]|dell['’]|dall['’])?{TITLE})\.?:?")
+_WRAPPED = re.compile(rf"([^\W\d_]+){_GAP}\Z")
+_AFTER = re.compile(r" ([^\W\d_]+)")
 _NOT_PHONE = frozenset("ddt iva n. nr. no. nº".split())
 
 
@@ -332,6 +356,7 @@ def occurrences(text: str, lex: Lexicon) -> list[tuple[int, int, str]]:
     if len(low) != len(text):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     found: list[tuple[int, int, int]] = []
+    signs = None
 
     def take(a: int, z: int, kind: str) -> None:
         if not busy.count(1, a, z):
@@ -341,6 +366,12 @@ def occurrences(text: str, lex: Lexicon) -> list[tuple[int, int, str]]:
     for end, (order, size, rule, around) in _keys().iter(low):
         at = end + 1 - size
         if around:
+            if order:
+                if signs is None:
+                    signs = [m.start() for m in _SIGN.finditer(text)]
+                near = bisect_left(signs, at - 70)
+                if near == len(signs) or signs[near] >= at + 90:
+                    continue
             for m in rule.finditer(text, max(0, at - 70), at + 90):
                 if m.start() <= at < m.end():
                     found.append((order, *m.span()))
@@ -358,7 +389,7 @@ def occurrences(text: str, lex: Lexicon) -> list[tuple[int, int, str]]:
             if 7 <= sum(map(str.isdigit, text[a:z])) <= 15 and not (text[a].isdigit() and before(text, a).lower() in _NOT_PHONE):
                 take(a, z, "phone")
         elif form:
-            pattern = lex.pattern(text, a)
+            pattern = lex.pattern(before(text, a))
             value, kind = max((lex.patterns.get((k, pattern), 0.0) if lex.patterns.get((k + " shape", form), 0.0) >= 0.3 else 0.0, k) for k in ("phone", "id"))
             if value >= CONFIDENT and (kind == "id" or (not form.strip("9") and 9 <= len(form) <= 13)):
                 take(a, z, "phone" if kind == "phone" else "id_number")
@@ -369,19 +400,28 @@ def occurrences(text: str, lex: Lexicon) -> list[tuple[int, int, str]]:
 def names(text: str, low: str, lex: Lexicon, busy: bytearray, take) -> None:
     """Mark names: known words that stand together, and unknown capitalised words in trusted places."""
     hits: list[tuple[int, int, str]] = []  # begin, end, kind
+    kinds, leads = lex.kinds, lex.leads
     for m in WORD.finditer(text):
-        a = m.start()
-        if busy[a] or (a and (text[a - 1].isalnum() or text[a - 1] in "@_")):
-            continue
         word = m.group()
-        k = lex.kind(word)
-        if k in ("firm", "open"):
+        k = kinds.get(word)
+        if k is None:
+            k = lex.kind(word)
+        if k == "firm" or k == "open":
+            continue
+        a = m.start()
+        c = text[a - 1] if a else "\n"
+        if busy[a] or c.isalnum() or c in "@_":
             continue
         if not k:
+            if c == "\n":
+                continue
             prev = before(text, a)
             if not prev:
                 continue
-            if lex.patterns.get(("name", lex.pattern(text, a)), 0.0) >= 0.9 and word[1:].islower() and len(word) > 2 or _TITLES.fullmatch(prev) or len(word) > 3 and len(prev) == 2 and prev[1] == "." and prev[0].isupper():
+            n = leads.get(prev)
+            if n is None:
+                n = lex.lead(prev)
+            if n and (n & 2 or n & 1 and word[1:].islower() and len(word) > 2 or n & 4 and len(word) > 3):
                 k = "guess"
             elif hits and hits[-1][2] == "given" and text[hits[-1][1] : a] == " " and len(word) > 3:
                 k = "guess"  # an unknown surname after a given name
@@ -397,7 +437,7 @@ def names(text: str, low: str, lex: Lexicon, busy: bytearray, take) -> None:
                 continue
             g = _LETTERS.search(text, max(0, a - 20), a - 1) if a and text[a - 1] in " ." else None
             if g is None and a > 1 and text[a - 1] in "\n> |":  # wrapped between the names
-                gap = re.search(rf"([^\W\d_]+){_GAP}\Z", text[max(0, a - 40) : a])
+                gap = _WRAPPED.search(text[max(0, a - 40) : a])
                 if gap and lex.kind(gap.group(1)) == "given":
                     b = max(0, a - 40) + gap.start(1)
                     extra.append((b, z, "given"))
@@ -405,7 +445,7 @@ def names(text: str, low: str, lex: Lexicon, busy: bytearray, take) -> None:
             if g and lex.kind(g.group()) == "given":
                 extra.append((g.start(), z, "given"))
             else:  # "surname given"
-                n = re.compile(r" ([^\W\d_]+)").match(text, z)
+                n = _AFTER.match(text, z)
                 if n and lex.kind(n.group(1)) == "given" and not text[n.start(1)].isupper():
                     extra.append((a, n.end(), "given"))
         hits = sorted(hits + extra)
@@ -452,12 +492,11 @@ def find(emails: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Lexicon(*shared.value)
         for b in batches:
-            out = [[], [], [], [], []]
+            ids, fields, kinds, begins, ends = [], [], [], [], []
             for i, name, t in _texts([b]):
                 for a, z, kind in occurrences(t, words):
-                    for column, v in zip(out, (i, name, kind, a, z)):
-                        column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], b.column(0).type), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64())], ["id", "field", "kind", "start_pos", "end_pos"])
+                    ids.append(i), fields.append(name), kinds.append(kind), begins.append(a), ends.append(z)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(fields, pa.string()), pa.array(kinds, pa.string()), pa.array(begins, pa.int64()), pa.array(ends, pa.int64())], ["id", "field", "kind", "start_pos", "end_pos"])
 
     kind = emails.schema["id"].dataType.simpleString()
     return emails.select("id", *FIELDS).mapInArrow(run, f"id {kind}, field string, kind string, start_pos long, end_pos long")
