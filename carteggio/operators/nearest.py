@@ -1,8 +1,9 @@
 """The texts nearest to some of the texts by TF-IDF, exact, by products of blocks of vectors.
 
 Texts are packed into blocks of sparse counts where they are read; blocks of queries meet blocks of targets in the cells
-of a grid, so only packed counts are shuffled, never pairs. A block product in single precision bounds every similarity;
-what may be among the best is worked out again in double precision.
+of a grid, so only packed counts are shuffled, never pairs. Products of vectors projected on the main directions of the
+targets, with what the projection leaves out as a further component, bound every similarity from above; what may be among
+the best is worked out again in double precision.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ from carteggio.operators.relational import top_k
 from carteggio.session import cut, tidy
 
 #: Targets and queries of a block, hints with blocks of their own in a task, and blocks of one cell of the grid.
-TARGETS, ASKED, HINTS, CELL_TARGETS, CELL_ASKED = 8192, 2048, 32, 32, 256
-#: More than single precision can be off: 1,000 products that sum up to 1 at most, each rounded.
-SLACK = 2e-4
-#: A term that fewer of the pairs of two blocks share is added pair by pair, others by a product of matrices.
-RARE = 0.005
+TARGETS, ASKED, HINTS, CELL_TARGETS, CELL_ASKED = 2048, 2048, 32, 64, 256
+#: Sets of main directions, directions of one, share of the squared lengths that they may leave out, targets of one product.
+BASES, DIRECTIONS, LEFT, WIDE = 16, 128, 1e-3, 1024
+#: More than single precision can be off, in a product and in a squared length.
+SLACK, ROUNDED = 2e-4, 1e-5
 
 
 def _pack(ids: np.ndarray, size: np.ndarray, term: np.ndarray, tf: np.ndarray) -> bytes:
@@ -49,7 +50,7 @@ def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class _Vectors:
-    """Unit vectors of a block; equal ones are one vector with the smallest ids of it."""
+    """Unit vectors of a block; with ``keep`` equal ones are one vector with the smallest ids of it."""
 
     def __init__(self, parts: list[list[np.ndarray]], idf: np.ndarray, keep: int | None = None):
         ids, size, term, tf = (np.concatenate(x) for x in zip(*parts))
@@ -65,25 +66,48 @@ class _Vectors:
             at = _spread(start[first], size[first])
             term, tf, size = term[at], tf[at], size[first]
             start = np.cumsum(size) - size
-        self.ids, self.size, self.start, self.term = ids, size, start, term.astype(np.int64)
+        self.ids, self.size, self.start, self.term, self.terms = ids, size, start, term, len(idf)
         self.n = len(size)
-        self.row = np.repeat(np.arange(self.n), size)
-        w = tf * idf[self.term]
-        self.weight = w / np.sqrt(np.bincount(self.row, w * w, self.n))[self.row]
-        self.by_term = np.argsort(self.term, kind="stable")
-        self.df = np.bincount(self.term, minlength=len(idf))
-        self.from_ = np.cumsum(self.df) - self.df
-
-    def dense(self, terms: np.ndarray) -> np.ndarray:
-        column = np.full(len(self.df), -1)
-        column[terms] = np.arange(len(terms))
-        out, here = np.zeros((self.n, len(terms)), dtype=np.float32), column[self.term] >= 0
-        out[self.row[here], column[self.term[here]]] = self.weight[here]
+        row, w = np.repeat(np.arange(self.n), size), tf * idf[term]
+        self.weight = w / np.sqrt(np.bincount(row, w * w, self.n))[row]
+
+    def dense(self, rows: np.ndarray | slice = slice(None), kind: type = np.float32) -> np.ndarray:
+        start, size = self.start[rows], self.size[rows]
+        at, out = _spread(start, size), np.zeros((len(size), self.terms), dtype=kind)
+        out[np.repeat(np.arange(len(size)), size), self.term[at]] = self.weight[at]
         return out
 
-    def posting(self, t: int) -> tuple[np.ndarray, np.ndarray]:
-        at = self.by_term[self.from_[t] : self.from_[t] + self.df[t]]
-        return self.row[at], self.weight[at].astype(np.float32)
+    def project(self, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Vectors in the directions of ``basis`` and, last, the length of the rest; the lengths of both."""
+        return _with_rest(np.concatenate([self.dense(slice(x, x + ASKED)) @ basis for x in range(0, self.n, ASKED)]))
+
+
+def _with_rest(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    square = (inside.astype(np.float64) ** 2).sum(axis=1)
+    rest = np.sqrt(np.maximum(1 - square, 0) + ROUNDED)
+    return np.hstack([inside, rest[:, None].astype(np.float32)]), np.sqrt(square), rest
+
+
+def _directions(vectors: _Vectors) -> np.ndarray:
+    """An orthonormal basis that leaves little of these vectors out; any basis bounds right, a good one bounds closely."""
+    every = vectors.dense(kind=np.float64)
+    used = np.flatnonzero(every.any(axis=0))
+    value, vector = np.linalg.eigh(every[:, used].T @ every[:, used])
+    value, vector = np.maximum(value[::-1], 0), vector[:, ::-1]
+    wanted = int(np.searchsorted(np.cumsum(value), (1 - LEFT) * value.sum())) + 1
+    out = np.zeros((vectors.terms, min(wanted, DIRECTIONS, len(used))), dtype=np.float32)
+    out[used] = vector[:, : out.shape[1]]
+    return out
+
+
+class _Targets:
+    """Targets of one set of directions, those that it leaves least out first."""
+
+    def __init__(self, parts: list[list[np.ndarray]], idf: np.ndarray, keep: int, basis: np.ndarray):
+        self.vectors = _Vectors(parts, idf, keep)
+        point, inside, rest = self.vectors.project(basis)
+        order = np.argsort(rest, kind="stable")
+        self.groups = [(x, np.ascontiguousarray(point[x].T), inside[x].max(), rest[x].max()) for x in np.split(order, range(WIDE, len(order), WIDE))]
 
 
 class _Best:
@@ -93,33 +117,35 @@ class _Best:
         self.asked, self.k, self.least = asked, k, np.zeros(asked.n)
         self.row, self.target, self.value = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
 
-    def meet(self, to: _Vectors) -> None:
-        q, k = self.asked, self.k
-        share = (q.df / q.n) * (to.df / to.n)
-        common = np.flatnonzero(share >= RARE)
-        wide = -(-to.n // 16) * 16
-        s = np.zeros((q.n, wide), dtype=np.float32)
-        if len(common):
-            s[:, : to.n] = q.dense(common) @ to.dense(common).T
-        for t in np.flatnonzero((share > 0) & (share < RARE)).tolist():
-            (rows, a), (columns, b) = q.posting(t), to.posting(t)
-            if len(rows) <= len(columns):
-                for r, x in zip(rows.tolist(), a):
-                    s[r, columns] += x * b
-            else:
-                for c, y in zip(columns.tolist(), b):
-                    s[rows, c] += y * a
-        # one of the k + 1 best vectors can be the query's own; maxima of groups of vectors bound what is asked from below
-        most = s.reshape(q.n, 16, wide // 16).max(axis=1)
-        if most.shape[1] > k:
-            self.least = np.maximum(self.least, np.partition(most, -k - 1, axis=1)[:, -k - 1])
-        least = np.maximum(self.least - SLACK, np.finfo(np.float32).tiny).astype(np.float32)
-        row, group = np.nonzero(most >= least[:, None])
-        for begin in range(0, len(row), 50_000):
-            r, g = row[begin : begin + 50_000], group[begin : begin + 50_000]
-            column = g[:, None] + np.arange(16) * (wide // 16)
-            i, j = np.nonzero(s[r[:, None], column] >= least[r][:, None])
-            self.add(r[i], column[i, j], to)
+    def reach(self, rows: np.ndarray) -> np.ndarray:
+        return np.maximum(self.least[rows] - SLACK, np.finfo(np.float32).tiny).astype(np.float32)
+
+    def meet(self, to: _Targets, point: np.ndarray, inside: np.ndarray, rest: np.ndarray) -> None:
+        """``point``, ``inside``, ``rest``: of the queries in the targets' directions."""
+        few = 2 * (self.k + 1)
+        for place, columns, most, most_rest in to.groups:
+            rows = np.flatnonzero(inside * most + rest * most_rest >= self.least - SLACK)
+            if not len(rows):
+                continue
+            bound = (point if len(rows) == len(point) else point[rows]) @ columns
+            near = bound >= self.reach(rows)[:, None]
+            count = np.count_nonzero(near, axis=1)
+            full = np.flatnonzero(count > 2 * few)
+            if len(full):  # the likeliest first, so that others can be told to be too far
+                likely = np.argpartition(bound[full], -few, axis=1)[:, -few:]
+                self.add(np.repeat(rows[full], few), place[likely.ravel()], to.vectors)
+                bound[np.repeat(full, few), likely.ravel()] = -1
+                near[full] = bound[full] >= self.reach(rows[full])[:, None]
+                count[full] = np.count_nonzero(near[full], axis=1)
+            i, j = np.divmod(np.flatnonzero(near), len(place))
+            many = count > len(place) // 16
+            if count[many].sum() > 20_000:  # the bound says little here
+                sparse, wide = ~many[i], np.flatnonzero(many)
+                close = self.asked.dense(rows[wide]) @ to.vectors.dense(place).T
+                a, b = np.nonzero((close >= self.reach(rows[wide])[:, None]) & near[wide])
+                i, j = np.concatenate((i[sparse], wide[a])), np.concatenate((j[sparse], b))
+            for begin in range(0, len(i), 50_000):
+                self.add(rows[i[begin : begin + 50_000]], place[j[begin : begin + 50_000]], to.vectors)
 
     def add(self, row: np.ndarray, vector: np.ndarray, to: _Vectors) -> None:
         if not len(row):
@@ -128,11 +154,12 @@ class _Best:
         for begin in range(0, len(row), 5000):
             r, v = row[begin : begin + 5000], vector[begin : begin + 5000]
             rows, at = np.unique(r, return_inverse=True)
-            table = np.zeros((len(rows), len(q.df)))
-            own = _spread(q.start[rows], q.size[rows])
-            table[np.repeat(np.arange(len(rows)), q.size[rows]), q.term[own]] = q.weight[own]
-            place, pair = _spread(to.start[v], to.size[v]), np.repeat(np.arange(len(v)), to.size[v])
-            value[begin : begin + 5000] = np.bincount(pair, table[at[pair], to.term[place]] * to.weight[place], len(v))
+            table = q.dense(rows, np.float64)
+            size = to.size[v]
+            place = _spread(to.start[v], size)
+            value[begin : begin + 5000] = np.add.reduceat(table.ravel().take(np.repeat(at * q.terms, size) + to.term[place]) * to.weight.take(place), np.cumsum(size) - size)
+        good = value >= np.maximum(self.least[row] - 1e-8, np.finfo(np.float64).tiny)
+        row, vector, value = row[good], vector[good], value[good]
         copies = to.copies[vector]
         target = to.ids[_spread((np.cumsum(to.copies) - to.copies)[vector], copies)]
         row, value = np.repeat(row, copies), np.repeat(value, copies)
@@ -178,13 +205,14 @@ def nearest(docs: DataFrame, doc: str, text: str, word: str, asked: Column, hint
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[tuple, list] = {}
-        serial, get = TaskContext.get().partitionId() * 7919, number.get
+        serial, get = Counter(), number.get
 
         def block(key: tuple) -> pa.RecordBatch:
-            nonlocal serial
-            serial += 1
-            blob = _pack(*(np.concatenate(x) for x in zip(*waiting.pop(key))))
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*key, serial, blob), (pa.bool_(), pa.string(), pa.int64(), pa.binary()))], ["asks", "hint", "no", "blob"])
+            # blocks of a hint come in turns to the lines of the grid
+            serial[key] += 1
+            no = TaskContext.get().partitionId() + serial[key] + zlib.crc32(str(key[1]).encode()) % 1009
+            parts = [np.concatenate(x) for x in zip(*waiting.pop(key))]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*key, no, len(parts[0]), _pack(*parts)), (pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.binary()))], ["asks", "hint", "no", "docs", "blob"])
 
         for b in batches:
             for begin in range(0, b.num_rows, ASKED):
@@ -213,46 +241,63 @@ def nearest(docs: DataFrame, doc: str, text: str, word: str, asked: Column, hint
         for key in list(waiting):
             yield block(key)
 
-    blocks, _ = cut(rows.mapInArrow(pack, "asks boolean, hint string, no long, blob binary"))
-    held = {r["asks"]: r["count"] for r in blocks.groupBy("asks").count().collect()}
-    down = max(1, -(-held.get(True, 0) // CELL_ASKED))
-    across = max(1, -(-held.get(False, 0) // CELL_TARGETS), min(held.get(False, 0), 4 * docs.sparkSession.sparkContext.defaultParallelism))
+    blocks, _ = cut(rows.mapInArrow(pack, "asks boolean, hint string, no long, docs long, blob binary"))
+    held = {r["asks"]: r for r in blocks.groupBy("asks").agg(F.sum("docs").alias("docs"), F.count("*").alias("blocks"), F.sum(F.length("blob")).alias("bytes")).collect()}
+    if len(held) < 2:
+        return docs.sparkSession.createDataFrame([], "source long, target long, similarity double")
+    # a block of each hint, of the commonest hints, shows the main directions; they change the work and not the result
+    shown = blocks.where("not asks").groupBy("hint").agg(F.sum("docs").alias("docs"), F.max_by("blob", F.struct("docs", "no")).alias("blob")).orderBy(F.col("docs").desc(), "hint").limit(BASES).collect()
+    names, bases = [r["hint"] for r in shown], [_directions(_Vectors([_unpack(r["blob"])], idf)) for r in shown]
+    every, ends = np.hstack(bases), np.cumsum([x.shape[1] for x in bases])[:-1]
+    # few columns for the queries, which are projected in each, and rows enough to keep all cores busy
+    least, (asks, targets) = 4 * docs.sparkSession.sparkContext.defaultParallelism, (held[True], held[False])
+    across = min(targets["blocks"], max(-(-targets["docs"] // (CELL_TARGETS * TARGETS)), round((least * targets["bytes"] / asks["bytes"] / 2) ** 0.5), 1))
+    down = min(asks["blocks"], max(-(-asks["docs"] // (CELL_ASKED * ASKED)), -(-least // across)))
     line = F.when(F.col("asks"), F.pmod("no", F.lit(down))).otherwise(F.pmod("no", F.lit(across)))
     # queries go to every cell of their row of the grid, targets to every cell of their column
     to = F.when(F.col("asks"), F.transform(F.sequence(F.lit(0), F.lit(across - 1)), lambda i: line * across + i)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(down - 1)), lambda i: i * across + line))
-    cells = blocks.select("asks", "hint", "blob", F.explode(F.transform(to, lambda x: x.cast("int"))).alias("cell")).repartitionById(down * across, "cell").sortWithinPartitions("cell", F.col("asks").desc(), "hint")
+    cells = blocks.select("asks", "hint", "blob", F.explode(F.transform(to, lambda x: x.cast("int"))).alias("cell")).repartitionById(down * across, "cell").sortWithinPartitions("cell", "asks", "hint")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, best, cell = {}, None, None
-
-        def results() -> Iterator[pa.RecordBatch]:
-            for x in best or []:
-                yield pa.RecordBatch.from_arrays([pa.array(x.asked.ids[x.row]), pa.array(x.target), pa.array(x.value)], ["source", "target", "similarity"])
+        which, bases = {h: i for i, h in enumerate(names)}, np.split(every, ends, axis=1)
+        cell, asker, waiting, held, targets = None, None, [], {}, {}
 
-        def ready() -> list[_Best]:
-            out = []
-            for parts in queries.values():
+        def ready() -> None:
+            for h, parts in held.items():
+                of = which.get(h, 0)
                 while parts:
                     some = [parts.pop()]
-                    while parts and sum(len(x[0]) for x in some) + len(parts[-1][0]) <= ASKED:
+                    while parts and sum(len(x[0]) for x in some) + len(parts[-1][0]) <= 4 * TARGETS:
                         some.append(parts.pop())
-                    out.append(_Best(_Vectors(some, idf), k))
-            return out
+                    targets.setdefault(of, []).append(_Targets(some, idf, k + 1, bases[of]))
+            held.clear()
+
+        def results() -> Iterator[pa.RecordBatch]:
+            if not waiting:
+                return
+            x, own = _Best(_Vectors(waiting, idf), k), which.get(asker, 0)
+            waiting.clear()
+            points = np.split(x.asked.dense() @ every, ends, axis=1)
+            for of in sorted(targets, key=lambda t: t != own):  # those of the same hint first
+                point = _with_rest(points[of])
+                for to in targets[of]:
+                    x.meet(to, *point)
+            yield pa.RecordBatch.from_arrays([pa.array(x.asked.ids[x.row]), pa.array(x.target), pa.array(x.value)], ["source", "target", "similarity"])
 
         for b in batches:
             for i in range(b.num_rows):
-                if b.column(3)[i].as_py() != cell:
+                asks, hint, blob, at = (b.column(c)[i].as_py() for c in range(4))
+                parts = _unpack(blob)
+                if waiting and (at != cell or hint != asker or sum(len(x[0]) for x in waiting) + len(parts[0]) > ASKED):
                     yield from results()
-                    queries, best, cell = {}, None, b.column(3)[i].as_py()
-                parts = _unpack(b.column(2)[i].as_py())
-                if b.column(0)[i].as_py():
-                    queries.setdefault(b.column(1)[i].as_py(), []).append(parts)
-                    continue
-                best = ready() if best is None else best
-                if best:
-                    to = _Vectors([parts], idf, k + 1)
-                    for x in best:
-                        x.meet(to)
+                if at != cell:
+                    cell, held, targets = at, {}, {}
+                if asks:
+                    ready()
+                    asker = hint
+                    waiting.append(parts)
+                else:
+                    held.setdefault(hint, []).append(parts)
         yield from results()
 
     pairs = cells.mapInArrow(compare, "source long, target long, similarity double")

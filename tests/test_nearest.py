@@ -72,3 +72,30 @@ def test_common_words_make_no_pairs(spark, tmp_path):
     got = analysis.similarity_edges(spark, str(tmp_path)).collect()
     assert len(got) == 750 * 5
     assert time.time() - began < 40
+
+
+def test_no_id_is_left_out(spark, tmp_path):
+    """None of the ids is divisible by 20, and every text has its edges."""
+    docs = [(i, f"parola{'abcdef'[i % 6]} comune testo{'abcdefgh'[i % 8]}", "it") for i in range(1, 20)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in analysis.similarity_edges(spark, str(tmp_path)).collect()}
+    assert got == brute(docs, 1) and {s for s, *_ in got} == set(range(1, 20))
+
+
+def test_bounds_that_say_little(spark, monkeypatch):
+    """Two directions for all texts of all languages, so that nearly every pair passes the bound; small groups of targets."""
+    rng = np.random.default_rng(6)
+    words = [f"parola{a}{b}" for a in "abcdefgh" for b in "abcdefghijklmnopqrstuvwxyz"]
+    docs = [(i, " ".join(rng.choice(words, rng.integers(1, 12))), ["it", "en", "de"][i % 3]) for i in range(900)] + [(1000 + i, f"sola{'abcdefghij'[i]}", "it") for i in range(10)]
+    want = {(s, t): x for s, t, x in brute(docs, 1)}
+
+    def same():
+        got = {(s, t): x for s, t, x in found(spark, docs, 1)}
+        return got.keys() == want.keys() and all(abs(got[p] - want[p]) < 2e-6 for p in want)  # brute rounds twice
+
+    for name, value in (("BASES", 1), ("DIRECTIONS", 2), ("WIDE", 300)):
+        monkeypatch.setattr(N, name, value)
+    assert same()
+    monkeypatch.setattr(N, "CELL_TARGETS", 1)
+    monkeypatch.setattr(N, "TARGETS", 40)
+    assert same()
